@@ -128,8 +128,8 @@ def test_packing_odd_rows(spark):
 
 
 def test_step_groups_are_balanced():
-    windows = [[(0, None, 0, n)] * (1024 // n) for n in (64, 128, 256, 512, 1024) for _ in range(8)]
-    groups = packing.step_groups(windows, 8192)
+    windows = [[(0, None, 0, n)] * (1024 // n) for n in (64, 128, 256, 512, 1024) for _ in range(10)]
+    groups = packing.step_groups(windows, 10240)
     costs = {}
     for w, g in zip(windows, groups):
         costs[g] = costs.get(g, 0) + sum((p[3] - p[2]) ** 2 for p in w)

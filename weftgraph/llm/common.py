@@ -76,7 +76,7 @@ def write_file(uri: str, chunks) -> int:
     fs, path = file_system(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part, n = f"{path}.{uuid.uuid4().hex}.part", 0
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(part, compression=None) as out:
         for x in chunks:
             out.write(x)
             n += len(x)

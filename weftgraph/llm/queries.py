@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_store
+from . import exact_dedup, packing, token_store, warc
 from .common import read_table
 
 
@@ -14,6 +14,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(read_table(spark, sf_dir, "pages")))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -26,5 +30,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op7_token_store, op10_exact_dedup)}
-ORACLE_SQL = {"op10_exact_dedup": exact_dedup.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op3_warc, op5_packing, op7_token_store, op10_exact_dedup)}
+ORACLE_SQL = {"op3_warc": warc.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}
