@@ -95,3 +95,21 @@ def shares(df: DataFrame) -> int:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: A key on more than 1/HOT_SHARE of the rows is looked up by broadcast. There are fewer than HOT_SHARE such keys.
+HOT_SHARE = 1000
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """left, each row with the one row of right (unique in key) that has its key, or nulls. ``right`` has ``copies``, how
+    many of left's rows have the key, and is a written table; rows: how many rows left has. The keys of many rows, at
+    most HOT_SHARE by that count, are broadcast and their rows stay where they are; all others are shuffled."""
+    names = [c for c in right.columns if c != key]
+    hot = right.filter(F.col("copies") * HOT_SHARE > rows).select(key, F.struct(*names).alias("__hot"))
+    cold = right.filter(F.col("copies") * HOT_SHARE <= rows).select(key, F.struct(*names).alias("__cold"))
+    tried = left.join(F.broadcast(hot), key, "left")
+    done = tried.filter(F.col("__hot").isNotNull()).withColumn("__cold", F.col("__hot"))
+    rest = tried.filter(F.col("__hot").isNull()).join(cold, key, "left")
+    both = done.unionByName(rest)
+    return both.select(*left.columns, *[F.col(f"__cold.{c}").alias(c) for c in names])
