@@ -34,10 +34,10 @@ SKIPPABLE, INDEX, FOOTER = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 DOCS_PER_SHARD, MAX_SHARDS, LEVEL = 2048, 4096, 3
 
 
-def frame(ids: np.ndarray, width: int, level: int = LEVEL) -> tuple[bytes, int, int]:
+def frame(compressor: zstandard.ZstdCompressor, ids: np.ndarray, width: int) -> tuple[bytes, int, int]:
     """(compressed frame, size of its content, checksum of its content)."""
     data = ids.astype(f"<u{width}").tobytes()
-    return zstandard.ZstdCompressor(level=level).compress(data), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF
+    return compressor.compress(data), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF
 
 
 def trailer(frames: list[tuple[int, int, int]], doc_ids: list, counts: list[int], width: int) -> bytes:
@@ -54,7 +54,7 @@ class TokenFile:
 
     def __init__(self, uri: str):
         fs, path = file_system(uri)
-        self._in = fs.open_input_file(path)
+        self._in, self._unpack = fs.open_input_file(path), zstandard.ZstdDecompressor()
         size = self._in.size()
         n, flags, magic = struct.unpack("<IBI", self._at(size - 9, 9))
         if magic != FOOTER or not flags & 0x80:
@@ -91,7 +91,7 @@ class TokenFile:
     def ids(self, i: int) -> np.ndarray:
         """The ids of document i; only its frame is read and decompressed."""
         packed, size, check = (int(x) for x in self.table[i])
-        data = zstandard.ZstdDecompressor().decompress(self._at(int(self.offsets[i]), packed), max_output_size=size) if size else b""
+        data = self._unpack.decompress(self._at(int(self.offsets[i]), packed), max_output_size=size) if size else b""
         if len(data) != size or size != self.width * self.counts[i] or xxhash.xxh64_intdigest(data) & 0xFFFFFFFF != check:
             raise ValueError(f"frame {i} is damaged")
         return np.frombuffer(data, f"<u{self.width}").astype("<u4")
@@ -105,12 +105,12 @@ def _encoded(path: str, end_id: int, bounds: list[int]):
     edges = np.array(bounds, dtype="i8")
 
     def run(batches):
-        enc = encoder(path)
+        enc, compressor = encoder(path), zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             out = []
             for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
                 ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
-                packed, size, check = frame(ids, enc.width)
+                packed, size, check = frame(compressor, ids, enc.width)
                 out.append((0 if doc is None else int(np.searchsorted(edges, doc, "right")), doc, len(ids), enc.width, size, check, packed))
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], ["shard", "doc_id", "n_tokens", "width", "size", "check", "frame"])

@@ -13,8 +13,8 @@ import os
 
 import numpy as np
 
-#: Words in the memo; it starts anew when it is full.
-MEMO_WORDS = 600_000
+#: Words in the memo; it starts anew at the batch after it has got fuller than this.
+MEMO_WORDS = 1_500_000
 _JOIN = 512
 _cache: dict = {}
 
@@ -105,21 +105,26 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        split = [self._words(t) for t in texts]
-        new: set[str] = set()
-        for words in split:
-            if words is not None:
-                new.update(words)
-        missing = new - self.memo.keys()
-        if len(self.memo) + len(missing) > self.memo_words:
+        if len(self.memo) > self.memo_words:
             self.memo.clear()
-            missing = new
+        get, split, holes, missing = self.memo.get, [], [], set()
+        for t in texts:
+            words = self._words(t)
+            ids = None if words is None else list(map(get, words))
+            hole = [i for i, x in enumerate(ids) if x is None] if ids is not None and None in ids else []
+            if hole:
+                hole = [(i, words[i]) for i in hole]
+                missing.update([w for _, w in hole])
+            split.append(ids)
+            holes.append(hole)
         self._learn(missing)
-        out, get = [], self.memo.__getitem__
-        for t, words in zip(texts, split, strict=True):
-            if words is None:
+        out, known = [], self.memo
+        for t, ids, hole in zip(texts, split, holes, strict=True):
+            if ids is None:
                 out.append(self._whole(t).tobytes() if t else b"")
-            else:
-                ids = b"".join(map(get, words))
-                out.append(ids[4:] if self.kind == "byte" else ids)
+                continue
+            for i, w in hole:
+                ids[i] = known[w]
+            ids = b"".join(ids)
+            out.append(ids[4:] if self.kind == "byte" else ids)
         return out
