@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, near_dedup, packing, token_store, warc
+from . import bpe, exact_dedup, fingerprint, langid, near_dedup, packing, token_store, warc
 from .common import read_table
 
 
@@ -34,6 +34,10 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(token_store.write_tokens(read_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(read_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,5 +48,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_langid, op3_warc, op5_packing, op6_near_dedup, op7_token_store, op9_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_langid, op3_warc, op5_packing, op6_near_dedup, op7_token_store, op8_fingerprints, op9_bpe, op10_exact_dedup)}
 ORACLE_SQL = {"op3_warc": warc.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}
