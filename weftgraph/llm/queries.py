@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprint, langid, near_dedup, packing, token_store, warc
+from . import bpe, exact_dedup, fingerprint, langid, near_dedup, packing, pii, token_store, warc
 from .common import read_table
 
 
@@ -14,6 +14,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(read_table(spark, sf_dir, "documents")))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_langid, op3_warc, op5_packing, op6_near_dedup, op7_token_store, op8_fingerprints, op9_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_langid, op3_warc, op5_packing, op6_near_dedup, op7_token_store, op8_fingerprints, op9_bpe, op10_exact_dedup)}
 ORACLE_SQL = {"op3_warc": warc.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}
