@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprint, langid, near_dedup, packing, pii, token_store, warc
+from . import bpe, exact_dedup, fingerprint, hmm, langid, near_dedup, packing, pii, token_store, warc
 from .common import read_table
 
 
@@ -26,6 +26,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(read_table(spark, sf_dir, "pages")))
 
 
+def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -52,5 +56,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_langid, op3_warc, op5_packing, op6_near_dedup, op7_token_store, op8_fingerprints, op9_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_langid, op3_warc, op4_hmm, op5_packing, op6_near_dedup, op7_token_store, op8_fingerprints, op9_bpe, op10_exact_dedup)}
 ORACLE_SQL = {"op3_warc": warc.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}
