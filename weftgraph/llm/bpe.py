@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, text_or_empty
 
-MAX_TRANSITIONS, MEMO_WORDS = 400_000, 250_000
+MAX_TRANSITIONS, MEMO_WORDS = 700_000, 600_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -115,9 +115,12 @@ class Transducer:
         if cut:
             ends = self._chain(last, cut)[-2::-1]
             out = tuple(last[e - 1] for e in ends)
-            before, data, last = out[-1], data[cut:], ()
-            for i in range(1, len(data) + 1):
-                last = (*last, self._last(before, data[:i], last))
+            kept: list[int | None] = []  # last tokens whose chain passes the cut; no other can be theirs
+            for e in range(cut + 1, n + 1):
+                token = last[e - 1]
+                begin = e - len(self.bytes_of[token]) if token is not None else -1
+                kept.append(token if begin == cut or begin > cut and kept[begin - cut - 1] is not None else None)
+            before, data, last = out[-1], data[cut:], tuple(kept)
         state = self.ids.get((before, data))
         if state is None:
             state = self.ids[before, data] = len(self.states)
