@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..sources.shared import checkpointed
 
 _HEAD = ("crate", "self", "super")
 
@@ -51,8 +52,8 @@ class Resolver:
         refs = refs.withColumn("parts", F.when(F.col("alias_parts").isNotNull(), F.concat("alias_parts", rest())).otherwise(F.col("parts"))).drop("alias_parts")
         refs = refs.withColumn("head", F.col("parts")[0]).join(self.exposed, ["from_path", "head"], "left")
         refs = refs.withColumn("parts", F.when(F.col("exposed_parts").isNotNull(), F.concat("exposed_parts", rest())).otherwise(F.col("parts"))).drop("exposed_parts", "head")
-        refs = refs.withColumn("last", F.element_at("parts", -1))
-        hits = self._scoped(refs)
+        refs = checkpointed(refs.withColumn("last", F.element_at("parts", -1)))
+        hits = checkpointed(self._scoped(refs))
         missed = refs.join(hits.select("from_path", "raw").distinct(), ["from_path", "raw"], "left_anti")
         named = missed.join(self.names, missed["last"] == self.names["name"]).select("from_path", "raw", "to_item", "is_module")
         return hits.unionByName(named)

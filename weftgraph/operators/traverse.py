@@ -80,32 +80,34 @@ def cycle_members(graph: CodeGraph) -> DataFrame:
         reach = checkpointed(reach.unionByName(front))
 
 
-def shortest_path(graph: CodeGraph, source: str, target: str) -> DataFrame:
-    """(step, path) of a shortest directed path over all edge types; of equal ones, each file follows the smallest
-    predecessor in path order. Empty without one."""
-    spark = graph.files.sparkSession
-    known = {r["path"] for r in graph.items.filter(F.col("path").isin(source, target)).select("path").distinct().collect()}
-    empty = spark.createDataFrame([], "step long, path string")
-    if not {source, target} <= known:
-        return empty
-    if source == target:
-        return spark.createDataFrame([(0, source)], "step long, path string")
+def distances(graph: CodeGraph, source: str, target: str | None = None) -> DataFrame:
+    """(path, parent, step) of the files that can be reached from source along edges of any type, level by level; the
+    search ends at the level of target. Of equal predecessors the smallest in path order is the parent."""
     edges = checkpointed(graph.file_edges().select(F.col("src_path").alias("u"), F.col("dst_path").alias("v")).distinct())
-    seen = checkpointed(spark.createDataFrame([(source, None, 0)], "path string, parent string, step long"))
+    seen = graph.items.filter(F.col("path") == source).select("path", F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("step")).distinct()
+    seen = checkpointed(seen)
     front, step = seen, 0
     while True:
         step += 1
         best = F.min(F.struct(paths.parts("u").alias("k"), F.col("u").alias("u")))
         new = edges.join(front.select(F.col("path").alias("u")), "u").groupBy(F.col("v").alias("path")).agg(best["u"].alias("parent"))
         front = checkpointed(new.join(seen, "path", "left_anti").select("path", "parent", F.lit(step).cast("long").alias("step")))
-        if not front.limit(1).count():
-            return empty
+        found = front.agg(F.count(F.lit(1)), F.sum((F.col("path") == F.lit(target)).cast("int"))).first()
+        if not found[0]:
+            return seen
         seen = checkpointed(seen.unionByName(front))
-        if front.filter(F.col("path") == target).limit(1).count():
-            break
-    trail, at = [], target
-    for k in range(step, -1, -1):
-        trail.append((k, at))
-        if k:
-            at = seen.filter(F.col("path") == at).first()["parent"]
+        if found[1]:
+            return seen
+
+
+def shortest_path(graph: CodeGraph, source: str, target: str) -> DataFrame:
+    """(step, path) of a shortest directed path over all edge types; of equal ones, each file follows the smallest
+    predecessor in path order. Empty without one."""
+    spark = graph.files.sparkSession
+    seen = distances(graph, source, None if source == target else target)
+    last = seen.filter(F.col("path") == target).first()
+    trail = []
+    while last is not None:
+        trail.append((last["step"], last["path"]))
+        last = seen.filter(F.col("path") == last["parent"]).first() if last["parent"] is not None else None
     return spark.createDataFrame(trail[::-1], "step long, path string")

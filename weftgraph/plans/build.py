@@ -1,4 +1,7 @@
-"""files to CodeGraph: extraction, hierarchy, uses, calls, as one lazy plan over the given files."""
+"""files to CodeGraph: extraction, hierarchy, uses, calls.
+
+Files are parsed once; items and imports are written to the shared folder, as every later step reads them several times.
+The relationships are one lazy plan over them."""
 
 from __future__ import annotations
 
@@ -6,9 +9,16 @@ from pyspark.sql import DataFrame
 
 from ..model import CodeGraph
 from ..operators import extract, relate
+from ..sources.shared import checkpointed
+
+
+def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, items, imports), each computed and written down once."""
+    files = checkpointed(files)
+    return files, checkpointed(extract.items(files)), checkpointed(extract.imports(files))
 
 
 def build(files: DataFrame) -> CodeGraph:
-    items, imports = extract.items(files), extract.imports(files)
+    files, items, imports = parsed(files)
     edges = relate.file_contains(items).unionByName(relate.module_contains(files)).unionByName(relate.import_uses(items, imports)).unionByName(relate.calls(files, items, imports))
-    return CodeGraph(files, items, imports, edges)
+    return CodeGraph(files, items, imports, checkpointed(edges))

@@ -9,7 +9,7 @@ from ..functions import paths
 from ..operators import extract, queries, relate, resolve, traverse
 from ..render import dot
 from ..sources import adapters, cache
-from .build import build
+from .build import build, parsed
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -183,15 +183,10 @@ def _(spark, sf_dir):
 _SUPPLY = _SPARSE.replace("reach AS (SELECT u AS s, v AS t FROM e UNION SELECT s, v FROM reach JOIN e ON t = u)", "walk AS (SELECT 'src/r0/n0.rs' AS node, 0 AS step UNION SELECT v, step + 1 FROM walk JOIN e ON node = u WHERE step < 25)")
 
 
-@_query("shortest_path_lengths", "SELECT node AS path, CAST(min(step) AS BIGINT) AS step FROM walk WHERE node IN ('src/r0/n0.rs', 'src/r1/n1.rs', 'src/r4/n4.rs', 'src/r3/n3.rs') GROUP BY node", _SUPPLY)
+@_query("shortest_path_lengths", "SELECT node AS path, CAST(min(step) AS BIGINT) AS step FROM walk GROUP BY node", _SUPPLY)
 def _(spark, sf_dir):
-    """The lengths of the shortest paths from one file to some others (itself included), where there are any."""
-    g = adapters.sparse_trade_graph(spark, sf_dir)
-    out = None
-    for target in ("src/r0/n0.rs", "src/r1/n1.rs", "src/r4/n4.rs", "src/r3/n3.rs"):
-        one = traverse.shortest_path(g, "src/r0/n0.rs", target).filter(F.col("path") == target)
-        out = one if out is None else out.unionByName(one)
-    return out.select("path", "step")
+    """The length of the shortest path from one file to each file that it reaches (itself included)."""
+    return traverse.distances(adapters.sparse_trade_graph(spark, sf_dir), "src/r0/n0.rs").select("path", "step")
 
 
 @_query("shortest_path", None)
@@ -282,7 +277,7 @@ def _(files):
 
 def _edges(name: str, f, sql: str | None = None):
     def run(files):
-        items, imports = extract.items(files), extract.imports(files)
+        files, items, imports = parsed(files)
         return f(files, items, imports)
 
     _sources(name, sql)(run)
