@@ -142,6 +142,8 @@ def test_call_heuristics(spark):
 
 
 def test_hierarchy(spark):
-    files = sources(spark, {p: "" for p in ("src/lib.rs", "src/a/mod.rs", "src/a/foo.rs", "lib.rs", "z.rs")})
+    files = sources(spark, {p: "" for p in ("src/lib.rs", "src/a/mod.rs", "src/a/foo.rs")})
     got = dict(values(relate.module_parents(files), "path", "parent"))
-    assert got == {"src/a/mod.rs": "src/lib.rs", "src/a/foo.rs": "src/a/mod.rs", "z.rs": "lib.rs"}
+    assert got == {"src/a/mod.rs": "src/lib.rs", "src/a/foo.rs": "src/a/mod.rs"}
+    bare = sources(spark, {p: "" for p in ("src/lib.rs", "lib.rs", "z.rs")})  # a folder's lib.rs looks one folder up
+    assert dict(values(relate.module_parents(bare), "path", "parent")) == {"src/lib.rs": "lib.rs", "z.rs": "lib.rs"}
