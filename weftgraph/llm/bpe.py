@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from operator import itemgetter
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import prepare, text_or_empty
 
-MAX_TRANSITIONS, MEMO_WORDS = 700_000, 600_000
+#: Bounds of the tables, which start anew when full; longer words and pieces are not remembered.
+MAX_TRANSITIONS, MEMO_WORDS, MEMO_CHARS = 700_000, 400_000, 64
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -40,30 +42,40 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
+    """A state is (last token before the pending bytes, or OPEN where it no longer matters; the pending bytes; the live
+    positions). A live position is a place in the pending bytes from which they begin some token, with the tokens that
+    lead there. Live positions only ever die or are added at the end, so a transition looks at the two or three there are."""
+
+    OPEN, START = -2, -1
+
     def __init__(self, ranks: dict[bytes, int], max_transitions: int = MAX_TRANSITIONS):
         self.ranks, self.max_transitions = ranks, max_transitions
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.prefixes = {b[:n] for b in ranks for n in range(1, len(b))}
-        self.longest = max(map(len, ranks))
+        self.single = [bytes([b]) for b in range(256)]
         self._pairs: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.ids = {(-1, b""): 0}
-        self.states = [(-1, b"", ())]
-        self.next: dict[int, int] = {}
-        self.emitted: dict[int, tuple[int, ...]] = {}
-        self.final: dict[int, tuple[int, ...]] = {}
+        start = (self.START, b"", ((0, ()),))
+        self.ids = {start: 0}
+        self.states = [start]
+        self.next: dict[int, tuple[int, tuple[int, ...]]] = {}  # state and byte -> state * 256, tokens emitted
 
     def merge(self, data: bytes) -> list[int]:
         """The encoding by its definition: the pair of lowest rank is merged until none is left. For short strings."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
+        get, none = self.ranks.get, len(self.ranks) + (1 << 40)
+        parts = [self.single[b] for b in data]
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (rank := min(pairs)) != none:
+            i = pairs.index(rank)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
         return [self.ranks[p] for p in parts]
 
     def _stands(self, token: int) -> bool:
@@ -81,59 +93,38 @@ class Transducer:
             known = self._pairs[a, b] = self._stands(b) and self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
-    def _last(self, before: int, data: bytes, known: tuple) -> int | None:
-        """The last token of the encoding of data after the token ``before``; known: the same for shorter prefixes, None
-        where an encoding would have to begin before data does."""
-        n = len(data)
-        for j in range(max(0, n - self.longest), n):
-            token = self.ranks.get(data[j:])
-            if token is not None and (j == 0 or known[j - 1] is not None) and self._follows(before if j == 0 else known[j - 1], token):
-                return token
-        return None
-
-    def _chain(self, last: tuple, end: int) -> list[int]:
-        """The boundaries from end down to 0."""
-        out = [end]
-        while end:
-            end -= len(self.bytes_of[last[end - 1]])
-            out.append(end)
-        return out
-
-    def _step(self, key: int) -> int:
+    def _step(self, key: int) -> tuple[int, tuple[int, ...]]:
         """Makes the transition of key: state * 256 + byte."""
-        before, pending, last = self.states[key >> 8]
-        data = pending + bytes([key & 255])
-        last = (*last, self._last(before, data, last))
-        n = len(data)
-        live = [j for j in range(n) if (j == 0 or last[j - 1] is not None) and data[j:] in self.prefixes]
-        if last[n - 1] is not None:
-            live.append(n)
-        common = set(self._chain(last, live[0]))
-        for j in live[1:]:
-            common.intersection_update(self._chain(last, j))
-        cut, out = max(common), ()
-        if cut:
-            ends = self._chain(last, cut)[-2::-1]
-            out = tuple(last[e - 1] for e in ends)
-            kept: list[int | None] = []  # last tokens whose chain passes the cut; no other can be theirs
-            for e in range(cut + 1, n + 1):
-                token = last[e - 1]
-                begin = e - len(self.bytes_of[token]) if token is not None else -1
-                kept.append(token if begin == cut or begin > cut and kept[begin - cut - 1] is not None else None)
-            before, data, last = out[-1], data[cut:], tuple(kept)
-        state = self.ids.get((before, data))
-        if state is None:
-            state = self.ids[before, data] = len(self.states)
-            self.states.append((before, data, last))
-        self.next[key] = state
-        if out:
-            self.emitted[key] = out
-        return state
-
-    def _end(self, state: int) -> tuple[int, ...]:
-        _, data, last = self.states[state]
-        out = self.final[state] = tuple(last[e - 1] for e in self._chain(last, len(data))[-2::-1])
-        return out
+        before, pending, lives = self.states[key >> 8]
+        data, rank, prefixes = pending + self.single[key & 255], self.ranks.get, self.prefixes
+        whole, kept = None, []
+        for live in lives:
+            at, tokens = live
+            rest = data[at:] if at else data
+            if whole is None and (token := rank(rest)) is not None and self._follows(tokens[-1] if tokens else before, token):
+                whole = (*tokens, token)
+            if rest in prefixes:
+                kept.append(live)
+        if not kept:  # all chains have met at the end
+            state, out = (whole[-1], b"", ((0, ()),)), whole
+        else:
+            cut, first = kept[0]
+            kept.append((len(data), whole))
+            shared = 0
+            while shared < len(first) and all([len(tokens) > shared and tokens[shared] == first[shared] for _, tokens in kept]):
+                shared += 1
+            out = first[:shared]
+            if out:
+                before = out[-1]
+            if shared < len(first):
+                before = self.OPEN
+            state = (before, data[cut:], tuple([(at - cut, tokens[shared:]) for at, tokens in kept]))
+        to = self.ids.get(state)
+        if to is None:
+            to = self.ids[state] = len(self.states)
+            self.states.append(state)
+        made = self.next[key] = (to << 8, out)
+        return made
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one piece, as byte-pair merging gives them; a piece that is a token is that token."""
@@ -142,30 +133,41 @@ class Transducer:
         if len(self.next) > self.max_transitions:
             self._reset()
         out: list[int] = []
-        state, get, emitted = 0, self.next.get, self.emitted
+        state, get, step = 0, self.next.get, self._step
         for b in piece:
-            key = state << 8 | b
-            if (to := get(key)) is None:
-                to = self._step(key)
-            if key in emitted:
-                out += emitted[key]
-            state = to
-        out += self.final[state] if state in self.final else self._end(state)
-        return out
+            state, some = get(state | b) or step(state | b)
+            if some:
+                out += some
+        return [*out, *self.states[state >> 8][2][-1][1]]  # the tokens still owed lead to the end, the last live position
 
 
 class TextEncoder:
-    """Whole texts: splits by the pattern and remembers the ids of recent words. A text is first cut before each single
-    space between other characters, and around single line ends; the pattern always cuts there too."""
+    """Whole texts: splits by the pattern and remembers the ids of recent words and pieces. A text is first cut before each
+    single space between other characters, and around single line ends; the pattern always cuts there too."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo_words: int = MEMO_WORDS):
         self.fst, self.split = Transducer(ranks), regex.compile(pattern).findall
+        self.decimal = {i: b"%d" % i for i in ranks.values()}.__getitem__
         self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.pieces: dict[str, tuple[bytes, bytes]] = {}
         self.memo_words = memo_words
 
+    def _piece(self, piece: str) -> tuple[bytes, bytes]:
+        if (got := self.pieces.get(piece)) is None:
+            ids = self.fst.encode(piece.encode())
+            got = pack(f"<{len(ids)}I", *ids), b" ".join(map(self.decimal, ids))
+            if len(piece) <= MEMO_CHARS:
+                if len(self.pieces) >= self.memo_words:
+                    self.pieces.clear()
+                self.pieces[piece] = got
+        return got
+
     def _pieces(self, text: str) -> tuple[bytes, bytes]:
-        ids = [i for piece in self.split(text) for i in self.fst.encode(piece.encode())]
-        return np.array(ids, dtype="<u4").tobytes(), " ".join(map(str, ids)).encode()
+        pieces = self.split(text)
+        if len(pieces) == 1:
+            return self._piece(pieces[0])
+        found = [self._piece(p) for p in pieces]
+        return b"".join([a for a, _ in found]), b" ".join([b for _, b in found])
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """(ids as little-endian 32-bit integers, ids in decimal joined by a space)."""
@@ -181,9 +183,11 @@ class TextEncoder:
         memo, out = self.memo, [self._pieces(words[0])]
         for w in words[1:]:
             if (got := memo.get(w)) is None:
-                if len(memo) >= self.memo_words:
-                    memo.clear()
-                got = memo[w] = self._pieces(w if w[0] == "\n" else " " + w)
+                got = self._pieces(w if w[0] == "\n" else " " + w)
+                if len(w) <= MEMO_CHARS:
+                    if len(memo) >= self.memo_words:
+                        memo.clear()
+                    memo[w] = got
             out.append(got)
         return b"".join(map(itemgetter(0), out)), b" ".join(map(itemgetter(1), out))
 
