@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from operator import itemgetter
 from struct import pack
 
 import numpy as np
@@ -32,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import prepare, text_or_empty
 
 #: Bounds of the tables, which start anew when full; longer words and pieces are not remembered.
-MAX_TRANSITIONS, MEMO_WORDS, MEMO_CHARS = 700_000, 400_000, 64
+MAX_TRANSITIONS, MEMO_WORDS, MEMO_CHARS = 700_000, 800_000, 64
+HEAD, NO_RANK, PORTION = 6, 1 << 60, 4096
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -54,7 +54,7 @@ class Transducer:
         self.prefixes = {b[:n] for b in ranks for n in range(1, len(b))}
         self.single = [bytes([b]) for b in range(256)]
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
+        self._courses: dict[int, list[tuple[int, bytes, bytes]] | None] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -62,10 +62,12 @@ class Transducer:
         self.ids = {start: 0}
         self.states = [start]
         self.next: dict[int, tuple[int, tuple[int, ...]]] = {}  # state and byte -> state * 256, tokens emitted
+        self.heads: dict[bytes, tuple[int, tuple[int, ...]]] = {}  # the same for the first HEAD bytes of a piece at once
 
-    def merge(self, data: bytes) -> list[int]:
-        """The encoding by its definition: the pair of lowest rank is merged until none is left. For short strings."""
-        get, none = self.ranks.get, len(self.ranks) + (1 << 40)
+    def _merged(self, data: bytes, course: list | None = None) -> list[bytes]:
+        """Merges the pair of lowest rank, the first of equals, until none is left. For short strings. The course takes the
+        rank of each merge with the parts that are then first and last."""
+        get, none = self.ranks.get, NO_RANK
         parts = [self.single[b] for b in data]
         pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
         while pairs and (rank := min(pairs)) != none:
@@ -76,21 +78,51 @@ class Transducer:
                 pairs[i - 1] = get(parts[i - 1] + parts[i], none)
             if i < len(pairs):
                 pairs[i] = get(parts[i] + parts[i + 1], none)
-        return [self.ranks[p] for p in parts]
+            if course is not None:
+                course.append((rank, parts[0], parts[-1]))
+        return parts
 
-    def _stands(self, token: int) -> bool:
-        """Whether merging can give the token at all."""
-        if (known := self._whole.get(token)) is None:
-            known = self._whole[token] = self.merge(self.bytes_of[token]) == [token]
-        return known
+    def merge(self, data: bytes) -> list[int]:
+        """The encoding by its definition."""
+        return [self.ranks[p] for p in self._merged(data)]
+
+    def _course(self, token: int) -> list[tuple[int, bytes, bytes]] | None:
+        """How merging comes to the token, from its single bytes on (rank, first part, last part); None if it can't."""
+        if token in self._courses:
+            return self._courses[token]
+        data = self.bytes_of[token]
+        course = [(-1, data[:1], data[-1:])]
+        made = self._merged(data, course)
+        course.append((NO_RANK, data, data))
+        self._courses[token] = course if len(made) == 1 else None
+        return self._courses[token]
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether merging the bytes of both gives the two: their own merges take place in the order of their ranks, those of
+        a first among equals, and the pair across the border must never be the lowest."""
+        left, right = self._course(a), self._course(b)
+        if left is None or right is None:
+            return False
+        get, i, j = self.ranks.get, 0, 0
+        while True:
+            across = get(left[i][2] + right[j][1], NO_RANK)
+            next_left, next_right = left[i + 1][0], right[j + 1][0]
+            if across < next_left and across <= next_right:
+                return False
+            if next_left <= next_right:
+                if next_left == NO_RANK:
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def _follows(self, a: int, b: int) -> bool:
         if a < 0:
-            return self._stands(b)
+            return self._course(b) is not None
         if (known := self._pairs.get((a, b))) is None:
             if len(self._pairs) > self.max_transitions:
                 self._pairs.clear()
-            known = self._pairs[a, b] = self._stands(b) and self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self._pairs[a, b] = self._apart(a, b)
         return known
 
     def _step(self, key: int) -> tuple[int, tuple[int, ...]]:
@@ -118,7 +150,9 @@ class Transducer:
                 before = out[-1]
             if shared < len(first):
                 before = self.OPEN
-            state = (before, data[cut:], tuple([(at - cut, tokens[shared:]) for at, tokens in kept]))
+            if cut or shared:
+                kept = [(at - cut, tokens[shared:]) for at, tokens in kept]
+            state = (before, data[cut:], tuple(kept))
         to = self.ids.get(state)
         if to is None:
             to = self.ids[state] = len(self.states)
@@ -130,49 +164,72 @@ class Transducer:
         """The ids of one piece, as byte-pair merging gives them; a piece that is a token is that token."""
         if (token := self.ranks.get(piece)) is not None:
             return [token]
-        if len(self.next) > self.max_transitions:
+        if len(self.next) > self.max_transitions or len(self.heads) > self.max_transitions:
             self._reset()
-        out: list[int] = []
         state, get, step = 0, self.next.get, self._step
-        for b in piece:
+        if (head := self.heads.get(piece[:HEAD])) is not None:
+            state, out = head[0], [*head[1]]
+        else:
+            out = []
+            for b in piece[:HEAD]:
+                state, some = get(state | b) or step(state | b)
+                out += some
+            self.heads[piece[:HEAD]] = state, tuple(out)
+        for b in piece[HEAD:]:
             state, some = get(state | b) or step(state | b)
             if some:
                 out += some
         return [*out, *self.states[state >> 8][2][-1][1]]  # the tokens still owed lead to the end, the last live position
 
 
+class Memo(dict):
+    """What ``make`` gives for a key, remembered; starts anew when it is full. Long keys are not remembered."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key: str) -> bytes:
+        made = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = made
+        return made
+
+
 class TextEncoder:
-    """Whole texts: splits by the pattern and remembers the ids of recent words and pieces. A text is first cut before each
-    single space between other characters, and around single line ends; the pattern always cuts there too."""
+    """Whole texts to ids as little-endian 32-bit integers: splits by the pattern and remembers recent words and pieces. A
+    text is first cut before each single space between other characters, and around single line ends; the pattern always
+    cuts there too."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo_words: int = MEMO_WORDS):
         self.fst, self.split = Transducer(ranks), regex.compile(pattern).findall
-        self.decimal = {i: b"%d" % i for i in ranks.values()}.__getitem__
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
-        self.pieces: dict[str, tuple[bytes, bytes]] = {}
-        self.memo_words = memo_words
-
-    def _piece(self, piece: str) -> tuple[bytes, bytes]:
-        if (got := self.pieces.get(piece)) is None:
-            ids = self.fst.encode(piece.encode())
-            got = pack(f"<{len(ids)}I", *ids), b" ".join(map(self.decimal, ids))
-            if len(piece) <= MEMO_CHARS:
-                if len(self.pieces) >= self.memo_words:
-                    self.pieces.clear()
-                self.pieces[piece] = got
-        return got
-
-    def _pieces(self, text: str) -> tuple[bytes, bytes]:
-        pieces = self.split(text)
+        self.words = Memo(self._word, memo_words)  # keys: what follows a space
+        self.bare = Memo(self._piece, memo_words)  # keys: pieces without a leading space
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.fst.encode(piece.encode())
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():  # one piece
+            return self._piece(" " + word)
+        if word[:1] == "\n":
+            return self._pieces(word)
+        pieces = self.split(" " + word)
         if len(pieces) == 1:
             return self._piece(pieces[0])
-        found = [self._piece(p) for p in pieces]
-        return b"".join([a for a, _ in found]), b" ".join([b for _, b in found])
+        return self._known(pieces)
+
+    def _known(self, pieces: list[str]) -> bytes:
+        return b"".join([self.words[p[1:]] if p[0] == " " and not p[1:2].isspace() and len(p) > 1 else self.bare[p] for p in pieces])
+
+    def _pieces(self, text: str) -> bytes:
+        return self._known(self.split(text))
 
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """(ids as little-endian 32-bit integers, ids in decimal joined by a space)."""
+    def encode(self, text: str) -> bytes:
         if not text:
-            return b"", b""
+            return b""
         words = None
         if not (text[0].isspace() or text[-1].isspace() or "  " in text or " \n" in text or "\n " in text or "\n\n" in text):
             words = text.replace("\n", " \n").split(" ")
@@ -180,16 +237,19 @@ class TextEncoder:
                 words = None
         if words is None:
             return self._pieces(text)
-        memo, out = self.memo, [self._pieces(words[0])]
-        for w in words[1:]:
-            if (got := memo.get(w)) is None:
-                got = self._pieces(w if w[0] == "\n" else " " + w)
-                if len(w) <= MEMO_CHARS:
-                    if len(memo) >= self.memo_words:
-                        memo.clear()
-                    memo[w] = got
-            out.append(got)
-        return b"".join(map(itemgetter(0), out)), b" ".join(map(itemgetter(1), out))
+        return self._pieces(words[0]) + b"".join(map(self.words.__getitem__, words[1:]))
+
+
+class Decimals:
+    """Ids in decimal, joined by a space."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        width = len(str(top := max(ranks.values()))) + 1
+        self.digits = np.frombuffer(b"".join([(b" %d" % i).ljust(width, b"\0") for i in range(top + 1)]), np.uint8).reshape(-1, width)
+
+    def write(self, ids: np.ndarray) -> bytes:
+        digits = self.digits[ids].ravel()
+        return digits[digits != 0][1:].tobytes()
 
 
 class Utf8Machine:
@@ -215,7 +275,7 @@ class Utf8Machine:
         return out
 
 
-def decode(bytes_of: dict[int, bytes], ids: np.ndarray, portion: int = 4096):
+def decode(bytes_of: dict[int, bytes], ids: np.ndarray, portion: int = PORTION):
     """The text of ids, in portions."""
     machine, get = Utf8Machine(), bytes_of.__getitem__
     for a in range(0, len(ids), portion):
@@ -229,17 +289,20 @@ _encoders: dict = {}
 def _encoded(path: str, pattern: str):
     def run(batches):
         if (path, pattern) not in _encoders:
-            _encoders[path, pattern] = TextEncoder(load_ranks(path), pattern)
-        enc = _encoders[path, pattern]
+            ranks = load_ranks(path)
+            _encoders[path, pattern] = TextEncoder(ranks, pattern), Decimals(ranks)
+        enc, decimals = _encoders[path, pattern]
         for batch in batches:
             counts, hashes, decoded = [], [], []
             for text in batch.column(1).to_pylist():
-                ids, decimal = enc.encode(text)
-                counts.append(len(ids) // 4)
-                hashes.append(hashlib.sha256(decimal).hexdigest())
-                back = hashlib.sha256()
-                for part in decode(enc.fst.bytes_of, np.frombuffer(ids, "<u4")):
+                ids = np.frombuffer(enc.encode(text), "<u4")
+                counts.append(len(ids))
+                given, back = hashlib.sha256(), hashlib.sha256()
+                for a in range(0, len(ids), PORTION):
+                    given.update((b" " if a else b"") + decimals.write(ids[a : a + PORTION]))
+                for part in decode(enc.fst.bytes_of, ids):
                     back.update(part.encode())
+                hashes.append(given.hexdigest())
                 decoded.append(back.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], [x.split()[0] for x in SCHEMA.split(", ")])
 
