@@ -286,12 +286,17 @@ def decode(bytes_of: dict[int, bytes], ids: np.ndarray, portion: int = PORTION):
 _encoders: dict = {}
 
 
+def _encoder(path: str, pattern: str) -> tuple[TextEncoder, Decimals]:
+    """One for all tasks of a worker: a task has its own copy of what its function names, but for functions of a module."""
+    if (path, pattern) not in _encoders:
+        ranks = load_ranks(path)
+        _encoders[path, pattern] = TextEncoder(ranks, pattern), Decimals(ranks)
+    return _encoders[path, pattern]
+
+
 def _encoded(path: str, pattern: str):
     def run(batches):
-        if (path, pattern) not in _encoders:
-            ranks = load_ranks(path)
-            _encoders[path, pattern] = TextEncoder(ranks, pattern), Decimals(ranks)
-        enc, decimals = _encoders[path, pattern]
+        enc, decimals = _encoder(path, pattern)
         for batch in batches:
             counts, hashes, decoded = [], [], []
             for text in batch.column(1).to_pylist():
