@@ -1,6 +1,8 @@
+import json
+
 from weftgraph import cli
 from weftgraph.render import dot, table
-from weftgraph.sources import cache, tree
+from weftgraph.sources import cache, config, document, tree
 
 
 def project(folder, files):
@@ -47,3 +49,48 @@ def test_manifest(spark):
 def test_renderers():
     assert table.grid(["a", "bb"], [["é", None], ["xyz"]]).splitlines()[0] == "+-----+----+"
     assert dot.with_interaction("<svg></svg>").endswith("</svg>") and dot.with_interaction("x").startswith("x<style>")
+
+
+def test_documents(spark, tmp_path, capsys):
+    root = project(tmp_path / "p", {"src/lib.rs": "\nmod a;\nuse crate::a::foo as f;\npub fn top() { foo(); }\n", "src/a.rs": "pub(in crate::x) fn foo() {}\npub enum E { A }\n", "src/empty.rs": ""})
+    saved, back = str(tmp_path / "g"), str(tmp_path / "g.json")
+    assert cli.main(["-q", "build", "-p", root, "--save", saved, "--json", back], spark) == 0 and capsys.readouterr().out == ""
+    from weftgraph.sources import store
+
+    a, b = store.load(spark, saved), document.load(spark, back)
+    for name, key in (("items", "item_id"), ("imports", "import_path"), ("relationships", "from_item")):
+        columns = [c for c in getattr(a, name).columns if c != "attrs"]
+        assert sorted(map(str, getattr(a, name).select(columns).collect())) == sorted(map(str, getattr(b, name).select(columns).collect())), (name, key)
+    assert b.files.count() == 3
+    whole = json.loads(open(back).read())
+    node = whole["files"][f"{root}/src/a.rs"]
+    assert node["metrics"] == {"item_count": 3, "import_count": 0} and node["items"][0]["item_type"] == {"Module": {"is_inline": False}}
+    assert {"PubIn": "in crate::x"} in [x["visibility"] for x in node["items"]] and whole["module_parent"][f"{root}/src/a.rs"] == f"{root}/src/lib.rs"
+    assert cli.main(["query", "hubs", "--graph", back], spark) == 0
+    assert "indegree" not in capsys.readouterr().out
+    assert cli.main(["-v", "query", "hubs", "--graph", back], spark) == 0
+    assert "indegree" in capsys.readouterr().out
+    (tmp_path / "bad.json").write_text("[]")
+    assert cli.main(["query", "cycles", "--graph", str(tmp_path / "bad.json")], spark) == 1
+
+
+def test_settings(spark, tmp_path, capsys):
+    root = project(tmp_path / "p", {"src/lib.rs": "pub fn top() {}\n"})
+    settings = tmp_path / "s.toml"
+    settings.write_text(f'root = "{root}"\n[dot]\ntheme = "dark"\nlegend = false\n[query]\ndefault_format = "json"\n')
+    out = tmp_path / "g.dot"
+    assert cli.main(["build", "-c", str(settings), "--dot", str(out), "--dot-rankdir", "TB"], spark) == 0
+    text = out.read_text()
+    assert "rankdir=TB" in text and "Legend" not in text and dot.COLOURS["dark"]["Function"] in text
+    capsys.readouterr()
+    assert cli.main(["query", "hubs", "-c", str(settings)], spark) == 0
+    assert json.loads(capsys.readouterr().out)[0]["path"] == f"{root}/src/lib.rs"
+    assert cli.main(["query", "hubs", "-c", str(settings), "-f", "text"], spark) == 0 and capsys.readouterr().out.startswith("+")
+    settings.write_text("root = 1\n")
+    assert config.load(str(settings)) == {} == config.load(str(tmp_path / "none.toml"))
+
+
+def test_completions(capsys):
+    for shell in cli.SHELLS:
+        assert cli.main(["completions", shell]) == 0
+        assert "module-centrality" in capsys.readouterr().out

@@ -1,4 +1,5 @@
-"""python -m weftgraph.cli build|query: builds a graph of a source tree, or asks one of the graph queries."""
+"""python -m weftgraph.cli build|query|completions: builds a graph of a source tree, asks one of the graph queries, or
+writes a shell's completions. Flags come before the environment, that before the settings of --config."""
 
 from __future__ import annotations
 
@@ -14,22 +15,39 @@ from .model import CodeGraph
 from .operators import queries, traverse
 from .plans.build import build
 from .render import dot, table
-from .sources import store, tree
+from .sources import config, document, store, tree
+
+ON_OFF = {"on": True, "off": False}
+SHELLS = {
+    "bash": 'complete -W "{words}" weftgraph\n',
+    "zsh": "#compdef weftgraph\ncompadd -- {words}\n",
+    "fish": 'complete -c weftgraph -a "{words}"\n',
+    "elvish": "set edit:completion:arg-completer[weftgraph] = {{|@words| put {words} }}\n",
+    "powershell": "Register-ArgumentCompleter -Native -CommandName weftgraph -ScriptBlock {{ param($word) '{words}'.Split(' ') | Where-Object {{ $_ -like \"$word*\" }} }}\n",
+}
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="weftgraph")
+    top.add_argument("-v", "--verbose", action="count", default=0)
+    top.add_argument("-q", "--quiet", action="store_true")
     commands = top.add_subparsers(dest="command", required=True)
     common = argparse.ArgumentParser(add_help=False)
-    common.add_argument("-p", "--path", default=os.environ.get("RRE_PATH", "."))
-    common.add_argument("-I", "--no-ignore", action="store_true", default=os.environ.get("KNOWLEDGE_RS_NO_IGNORE", "").lower() in ("1", "true"))
-    common.add_argument("--graph", default=os.environ.get("RRE_GRAPH"), help="a saved graph instead of a path")
+    common.add_argument("-p", "--path", default=os.environ.get("RRE_PATH"))
+    common.add_argument("-c", "--config")
+    common.add_argument("-I", "--no-ignore", "--no-gitignore", "--all", "--ni", action="store_true", default=os.environ.get("KNOWLEDGE_RS_NO_IGNORE", "").lower() in ("1", "true"))
+    common.add_argument("--graph", default=os.environ.get("RRE_GRAPH"), help="a saved graph (a folder, or a .json document) instead of a path")
     b = commands.add_parser("build", parents=[common])
     b.add_argument("--save")
     b.add_argument("--dot")
     b.add_argument("--svg")
+    b.add_argument("--json")
+    for name, choices in (("clusters", ON_OFF), ("legend", ON_OFF), ("theme", ["light", "dark"]), ("rankdir", ["LR", "TB"]), ("splines", ["curved", "ortho", "polyline"]), ("rounded", ON_OFF)):
+        b.add_argument(f"--dot-{name}", choices=list(choices))
+    b.add_argument("--svg-interactive", choices=list(ON_OFF))
+    commands.add_parser("completions").add_argument("shell", choices=list(SHELLS))
     asked = commands.add_parser("query").add_subparsers(dest="query", required=True)
-    common.add_argument("-f", "--format", choices=["text", "json"], default=os.environ.get("RRE_FORMAT", "text"))
+    common.add_argument("-f", "--format", choices=["text", "json"], default=os.environ.get("RRE_FORMAT"))
     common.add_argument("--offset", type=int, default=0)
     common.add_argument("--limit", type=int)
     asked.add_parser("connected-files", parents=[common]).add_argument("file")
@@ -75,27 +93,81 @@ def _answer(g: CodeGraph, a) -> tuple[DataFrame, list]:
     return queries.unreferenced_items(g, a.include_public, a.exclude), [paths.parts("path"), "id"]
 
 
+def _completions(top: argparse.ArgumentParser, shell: str) -> str:
+    def words(p: argparse.ArgumentParser):
+        for action in p._actions:
+            yield from action.option_strings
+            if isinstance(action, argparse._SubParsersAction):
+                for name, below in action.choices.items():
+                    yield name
+                    yield from words(below)
+
+    return SHELLS[shell].format(words=" ".join(sorted(set(words(top)))))
+
+
+def _drawing(a, settings: dict) -> dict:
+    """The options of DOT: flags, else settings, else on, light, LR, curved."""
+    out = {"clusters": True, "legend": True, "theme": "light", "rankdir": "LR", "splines": "curved", "rounded": True} | {k: v for k, v in settings.get("dot", {}).items() if k in config.SETTINGS["dot"]}
+    for name in out:
+        if (flag := getattr(a, f"dot_{name}")) is not None:
+            out[name] = ON_OFF.get(flag, flag)
+    return out
+
+
+def _graph(spark: SparkSession, a, settings: dict) -> CodeGraph:
+    if a.graph:
+        return document.load(spark, a.graph) if a.graph.endswith(".json") else store.load(spark, a.graph)
+    path = a.path or settings.get("root") or "."
+    return build(tree.scan(spark, tree.project_root() if path == "." else path, not a.no_ignore))
+
+
+def _build(g: CodeGraph, a, settings: dict) -> int:
+    for target, save in ((a.save, document.save if (a.save or "").endswith(".json") else store.save), (a.json, document.save)):
+        if target:
+            save(g, target)
+    if a.dot or a.svg:
+        text = dot.document(g, **_drawing(a, settings))
+        interactive = ON_OFF[a.svg_interactive] if a.svg_interactive else settings.get("svg", {}).get("interactive", True)
+        for target, content in ((a.dot, lambda: text), (a.svg, lambda: dot.svg(text, interactive))):
+            if target:
+                with open(target, "w", encoding="utf-8") as f:
+                    f.write(content())
+    if not a.quiet:
+        print(f"{g.files.count()} files, {g.items.count()} items, {g.relationships.count()} relationships")
+    return 0
+
+
+def _shown(df: DataFrame, a) -> DataFrame:
+    """The columns of a text table: fewer unless -v is given."""
+    if a.verbose or a.format == "json":
+        return df
+    if a.query in ("hubs", "module-centrality"):
+        value = F.col("indegree") + F.col("outdegree") if a.metric == "total" else F.col(f"{a.metric}degree")
+        return df.select(df.columns[0], value.alias(a.metric))
+    if a.query == "unreferenced-items":
+        return df.select("path", "name")
+    return df.select("path") if a.query == "trait-impls" else df
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    a = parser().parse_args(argv)
+    top = parser()
+    a = top.parse_args(argv)
+    if a.command == "completions":
+        print(_completions(top, a.shell), end="")
+        return 0
     spark = spark or SparkSession.builder.appName("weftgraph").getOrCreate()
-    root = tree.project_root() if a.path == "." else a.path
+    settings = config.load(a.config)
     try:
-        g = store.load(spark, a.graph) if a.graph else build(tree.scan(spark, root, not a.no_ignore))
+        g = _graph(spark, a, settings)
         if a.command == "build":
-            if a.save:
-                store.save(g, a.save)
-            if a.dot or a.svg:
-                text = dot.document(g)
-                for target, content in ((a.dot, lambda: text), (a.svg, lambda: dot.svg(text))):
-                    if target:
-                        with open(target, "w", encoding="utf-8") as f:
-                            f.write(content())
-            print(f"{g.files.count()} files, {g.items.count()} items, {g.relationships.count()} relationships")
-            return 0
+            return _build(g, a, settings)
+        wanted = a.format or settings.get("query", {}).get("default_format", "text")
+        a.format = wanted if wanted in ("text", "json") else "text"
         if a.query == "item-info":
             return _item(g, a)
         df, order = _answer(g, a)
-        rows = queries.page(df, order, a.offset, a.limit).collect()
+        df = _shown(queries.page(df, order, a.offset, a.limit), a)
+        rows = df.collect()
     except Exception as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
