@@ -3,10 +3,11 @@
 Merging by rank has two properties that make it a finite-state matter: a prefix of a text's tokens is the encoding of the
 text they cover, and a sequence of tokens is an encoding exactly if each adjacent pair is the encoding of its own bytes.
 So every prefix of the input has one last token, found from the tokens that end there and the last tokens where they
-begin. A state of the transducer is (last emitted token, bytes read since); a position can still matter only if the
-bytes from it on begin some token of the vocabulary, so once the chains of all positions that matter meet at a boundary,
-the tokens before it are emitted: the lookahead is bounded by the longest token. States and transitions are made when
-they are first needed and kept in a table of bounded size that starts anew when it is full.
+begin. A position can still matter only if the bytes from it on begin some token of the vocabulary; a state of the
+transducer is the last token before the pending bytes (where it still matters), those bytes, and such positions in them
+with the tokens that lead there. As soon as the tokens to all of them begin alike, these are emitted: the lookahead is
+bounded by the longest token. States and transitions are made when they are first needed and kept in tables of bounded
+size that start anew when they are full.
 
 Decoding takes ids in any portions: the bytes of a character may be spread over tokens, so a state machine holds back the
 bytes of an unfinished character until the rest arrives.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import prepare, text_or_empty
 
 #: Bounds of the tables, which start anew when full; longer words and pieces are not remembered.
-MAX_TRANSITIONS, MEMO_WORDS, MEMO_CHARS = 700_000, 800_000, 64
+MAX_TRANSITIONS, MEMO_WORDS, MEMO_CHARS = 700_000, 800_000, 32
 HEAD, NO_RANK, PORTION = 6, 1 << 60, 4096
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -205,7 +206,7 @@ class TextEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo_words: int = MEMO_WORDS):
         self.fst, self.split = Transducer(ranks), regex.compile(pattern).findall
         self.words = Memo(self._word, memo_words)  # keys: what follows a space
-        self.bare = Memo(self._piece, memo_words)  # keys: pieces without a leading space
+        self.bare = Memo(self._piece, max(1, memo_words // 4))  # keys: pieces without a leading space
 
     def _piece(self, piece: str) -> bytes:
         ids = self.fst.encode(piece.encode())
