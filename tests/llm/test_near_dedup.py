@@ -66,6 +66,24 @@ def test_chains_and_hot_groups(spark):
     assert got == brute(list(enumerate(texts)), 4)
 
 
+@pytest.mark.parametrize("block", [256, 16])
+def test_hub_with_spokes(spark, monkeypatch, block):
+    """Copies like the original (0.85) but not like each other (0.72), the original neither the smallest nor the largest."""
+    monkeypatch.setattr(nd, "BLOCK", block, raising=False)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for i in range(300):
+        x = base[:]
+        for j in range(4):
+            x[50 * j + rng.randrange(4, 46)] = f"s{i}x{j}"
+        texts.append(" ".join(x))
+    texts[150] = " ".join(base)
+    got = sorted(map(tuple, nd.near_groups(fixtures.docs(spark, texts).repartition(5), words=4).collect()))
+    want = brute(list(enumerate(texts)), 4)
+    assert len({r[2] for r in want}) == 1 and got == want
+
+
 def test_odd_rows(spark):
     got = nd.near_groups(fixtures.odd(spark)).collect()
     assert len(got) == len(fixtures.odd_rows())

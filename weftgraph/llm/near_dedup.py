@@ -6,10 +6,12 @@
 2. Texts with equal sets are one class, and only one of them goes on.
 3. ROWS bins are a band; its hash is a bucket. Two sets of resemblance 0.8 share none of the 40 buckets with
    probability (1 - 0.8 ** 6) ** 40 = 5e-6.
-4. In a bucket, edges go to one centre only, so their number is bounded by that of the members. First each class is
-   confirmed against the smallest centre of all its buckets; then, for buckets whose members still belong to different
-   components, against the other centres, and then against new centres (the largest member, then the members that two
-   hashes choose), until a round finds no new link. No member and no bucket is left out for its size.
+4. First each class is confirmed against the smallest centre of all its buckets; then, for buckets whose members still
+   belong to different components, against the bucket's smallest member, and then against its largest. That tries all
+   pairs of buckets of up to three members. In each larger bucket that is still mixed, all pairs of members of different
+   components are tried: the members are dealt into blocks (BLOCK members or BLOCK_SHINGLES shingles each, those of the
+   largest component apart from the others), and a pair of blocks is a task's unit, whatever the bucket's size. A pair
+   that shares several such buckets is tried in the smallest. No pair, member or bucket is left out.
 5. Edges are confirmed on the full sets: 100 * intersection >= threshold * union. Links are joined to components.
 
 The texts of classes with a shared bucket are shuffled once, to make their sets; sets of other texts are never stored.
@@ -37,6 +39,7 @@ from .components import components, relabel
 
 BANDS, ROWS, WORDS, PERCENT = 40, 6, 5, 80
 NO_ID = 1 << 62
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 _P, _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 _S30, _S27, _S31, _S32 = (np.uint64(x) for x in (30, 27, 31, 32))
 
@@ -121,7 +124,7 @@ def _signed(words: int, bands: int, rows: int):
 
 
 def _sets(words: int):
-    """For mapInArrow: (node, digest, text) to (node, set). Of rows of one id, only those of the class's text count."""
+    """For mapInArrow: (node, digest, text) to (node, size, set). Of rows of one id, only those of the class's text count."""
 
     def run(batches):
         for b in batches:
@@ -131,7 +134,7 @@ def _sets(words: int):
                 if len(s) and digest(s) == want and not (nodes and nodes[-1] == node):
                     nodes.append(node)
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array(sets, pa.binary())], ["node", "size", "shingles"])
 
     return run
 
@@ -149,6 +152,71 @@ def _confirmed(percent: int):
     return run
 
 
+def _linked(percent: int):
+    """For applyInArrow: the members of one block, or of two blocks, of a bucket to links that join their components. Pairs
+    of one component and pairs that share a bucket listed in ``seen`` are passed over."""
+
+    def run(t: pa.Table) -> pa.Table:
+        block, node, comp = (t.column(c).to_numpy().copy() for c in ("block", "node", "comp"))
+        sets = [np.frombuffer(x, "u8") for x in t.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets], dtype="i8")
+        ends = np.cumsum(size)
+        starts = ends - size
+        items = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        seen = t.column("seen").to_pylist()
+        owner = np.repeat(np.arange(len(seen)), [len(x) for x in seen])
+        buckets = np.unique(np.array([b for x in seen for b in x], dtype="i8"), return_inverse=True)[1]
+        first, last = block.min(), block.max()
+        marked, earlier = np.zeros(len(items), dtype="u1"), np.zeros(len(buckets), dtype=bool)
+        a, b = [], []
+        for x in np.flatnonzero(block == first):
+            open_ = (block == last) & (comp != comp[x]) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x]))
+            if first == last:
+                open_[: x + 1] = False
+            if len(buckets) and open_.any():
+                own = buckets[owner == x]
+                earlier[own] = True
+                open_[owner[earlier[buckets]]] = False
+                earlier[own] = False
+            if not open_.any():
+                continue
+            own = items[starts[x] : ends[x]]
+            marked[own] = 1
+            both = np.add.reduceat(marked[items], starts, dtype="i8")
+            marked[own] = 0
+            hits = np.flatnonzero(open_ & (100 * both >= percent * (size + size[x] - both)))
+            joined, at = np.unique(comp[hits], return_index=True)
+            a += [node[x]] * len(at)
+            b += node[hits[at]].tolist()
+            comp[np.isin(comp, joined)] = comp[x]
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _blocks(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members (bucket, node, comp) of mixed buckets of more than three, once per pair of blocks that they are in: bucket,
+    low, high, block, node, comp, seen, shingles. The largest component's blocks are not paired with one another."""
+    sized = apart.select("bucket", "node", "comp").distinct().join(sets.select("node", "size"), "node")
+    parts = sized.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    whole = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "comp")).alias("top"))
+    whole = whole.filter((F.col("n") > 3) & (F.col("top.n") < F.col("n")))
+
+    def count(n, s):
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+
+    n, s, top = F.col("n"), F.col("s"), F.col("top")
+    shape = whole.select("bucket", top["comp"].alias("main"), count(n - top["n"], s - top["s"]).alias("others"), count(top["n"], top["s"]).alias("mains"))
+    hard = written(sized.join(shape, "bucket"), "hard")
+    is_main, others, mains = F.col("comp") == F.col("main"), F.col("others"), F.col("mains")
+    dealt = F.pmod(F.xxhash64("node", F.lit(7)), F.when(is_main, mains).otherwise(others)).cast("int")
+    placed = hard.select("bucket", "node", "comp", F.when(is_main, others).otherwise(0).alias("base"), dealt.alias("dealt"), F.when(is_main, others).otherwise(others + mains).alias("partners"))
+    placed = placed.select("bucket", "node", "comp", (F.col("base") + F.col("dealt")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("partners") - 1)).alias("other"))
+    pairs = placed.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "comp")
+    lists = hard.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(sets.select("node", "shingles"), "node")
+    return pairs.join(lists, "node").select("bucket", "low", "high", "block", "node", "comp", F.filter("buckets", lambda b: b < F.col("bucket")).alias("seen"), "shingles")
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     prepare(docs.sparkSession)
@@ -167,7 +235,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ban
 
     wanted = members.select("node").distinct().join(classes.select("node", "digest"), "node")
     texts = base.select(F.col("id").alias("node"), "text").join(wanted, "node").select("node", "digest", "text")
-    sets = written(texts.mapInArrow(_sets(words), "node long, shingles binary"), "sets")
+    sets = written(texts.mapInArrow(_sets(words), "node long, size long, shingles binary"), "sets")
 
     def confirmed(edges: DataFrame) -> DataFrame:
         one = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -177,23 +245,20 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ban
     first = members.filter("centre < node").groupBy(F.col("node").alias("a")).agg(F.min("centre").alias("b"))
     labels = components(confirmed(first))
     tried = written(first, "tried")
-    for turn in range(4):
+    for turn in range(2):
         apart = written(relabel(members.select("bucket", "node", "centre", F.col("node").alias("comp")), labels, ["comp"]), "apart")
-        mixed = apart.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *([F.max_by("node", F.xxhash64("node", F.lit(turn))).alias("centre")] if turn > 1 else [F.max("node").alias("centre")])).filter("low < high")
-        again = apart.join(mixed.select("bucket") if turn == 0 else mixed.select("bucket", F.col("centre").alias("new")), "bucket")
-        again = again.withColumn("new", F.col("centre")) if turn == 0 else again
+        mixed = apart.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), (F.max("node") if turn else F.min("node")).alias("new")).filter("low < high")
+        again = apart.join(mixed.select("bucket", "new"), "bucket")
         pairs = relabel(again.select("node", "comp", "new", F.col("new").alias("other")), labels, ["other"]).filter("comp <> other")
         edges = pairs.select(F.greatest("node", "new").alias("a"), F.least("node", "new").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         edges = written(edges, "edges")
-        if not edges.limit(1).count():
-            if turn:
-                break
-            continue
-        links = confirmed(edges)
-        if not links.limit(1).count() and turn > 1:
-            break
-        labels = components(links, labels)
-        tried = written(tried.unionByName(edges), "tried")
+        if edges.limit(1).count():
+            labels = components(confirmed(edges), labels)
+            tried = written(tried.unionByName(edges), "tried")
+
+    apart = relabel(members.select("bucket", "node", F.col("node").alias("comp")), labels, ["comp"])
+    links = _blocks(apart, sets).groupBy("bucket", "low", "high").applyInArrow(_linked(percent), "a long, b long")
+    labels = components(written(links, "links"), labels)
 
     class_of = written(relabel(classes.select("digest", "copies", F.col("node").alias("comp")), labels, ["comp"]), "class-components")
     all_rows = lookup(signed.select("doc_id", "n_shingles", "digest"), class_of, "digest", signed.count())
