@@ -87,6 +87,14 @@ def test_added_spans_and_scores(spark):
     assert got[5][0].score < got[6][0].score
 
 
+def test_groups_followed_by_words_and_numbers(spark):
+    iban = "DE89 3704 0044 0532 0130 00"
+    texts = [f"IBAN {iban} BIC COBADEFFXXX", f"{iban} A", f"{iban} 2024-01-05 paid", "DE89370400440532013000 BIC x", f"AB12 CDEF GHIJ KLMN {iban} Ab", "phone 030 1234 5678 2024 x", "phone 030 1234 5678 20th", f"{iban} {iban} é"]
+    want = [[iban], [iban], [iban], ["DE89370400440532013000"], [iban], ["030 1234 5678"], ["030 1234 5678"], [iban, iban]]
+    got = {r.doc_id: r.spans for r in pii.find(fixtures.docs(spark, texts)).collect()}
+    assert [[texts[i][s.start : s.end] for s in got[i] if s.kind in ("iban", "natphone")] for i in range(len(texts))] == want
+
+
 def test_redaction(spark):
     texts = ["write to a@b.org or +1 (603) 555-8791!", "nothing here", None, "é 4111 1111 1111 1111", "1.2.3.4"]
     df = fixtures.docs(spark, texts)

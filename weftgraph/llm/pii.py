@@ -12,7 +12,8 @@ where a word such as tel or phone stands before it, and outside of base spans).
 Positions come from the text between matches: split() and regexp_extract_all() see the same matches, so the start of
 match i is the length of all pieces and matches before it. Patterns use possessive quantifiers and start at the start of
 a run of their characters (or where the match before ended), which finds the same matches and keeps long runs of
-characters linear.
+characters linear. The patterns of iban and natphone match the first group only; of what follows, the longest stretch that
+ends with a group and passes the check is the span, so a word or number behind it does no harm.
 
 Edge cases. Null text counts as empty: no spans. Null or repeated ids are kept as they are. An empty table gives an empty
 result. ``find`` reads the id and the text only; ``redact`` keeps all columns of its input, whatever their names.
@@ -32,9 +33,9 @@ PATTERNS = {
     "ip": ("[0-9]\\.[0-9]", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": ("[0-9](?:[ -]?[0-9]){13}", r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": ("\\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    "iban": ("[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"),
+    "iban": ("[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])(?=([\s\S]{1,90}))[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"),
     "secret": ("[=:]", r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)\b\x20{0,3}[=:]\x20{0,3}[\x22']?[A-Za-z0-9+/_.~-]{16,512}+[\x22']?"),
-    "natphone": ("[0-9]{2}", r"(?<![0-9A-Za-z+.])\(?[0-9]{2,5}\)?(?:[\x20./-][0-9]{2,8}){1,4}+(?![0-9A-Za-z])"),
+    "natphone": ("[0-9]{2}", r"(?<![0-9A-Za-z+.])(?=([\s\S]{1,90}))\(?[0-9]{2,5}\)?(?=[\x20./-][0-9]{2})"),
 }
 BASE = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
@@ -94,9 +95,41 @@ def confirmed(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+def _longest(kind: str, ahead: Column) -> Column:
+    """The longest confirmed stretch at the start of ``ahead`` that ends with a group, or null."""
+    if kind == "iban":
+        run = F.regexp_extract(ahead, r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+", 0)
+        ends = F.filter(F.sequence(F.lit(15), F.greatest(F.lit(15), F.length(run))), lambda e: F.rlike(F.substring(ahead, e, F.lit(2)), F.lit("^[A-Z0-9](?![A-Za-z0-9])")))
+        tries = F.transform(ends, lambda e: F.substring(run, F.lit(1), e))
+    else:
+        tries = F.array(*[F.regexp_extract(ahead, rf"^\(?[0-9]{{2,5}}\)?(?:[\x20./-][0-9]{{2,8}}){{{k}}}(?![0-9A-Za-z])", 0) for k in range(1, 5)])
+    return F.try_element_at(F.filter(tries, lambda m: confirmed(kind, m)), F.lit(-1))
+
+
+def grouped(text: Column, kind: str) -> Column:
+    """proposals() for iban and natphone: leftmost, non-overlapping, each the longest that is confirmed."""
+    need, pattern = PATTERNS[kind]
+    hits = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("head"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("ahead"))
+    both = F.zip_with(F.split(text, pattern, -1), hits, lambda g, h: F.struct(g.alias("gap"), h["head"].alias("head"), _longest(kind, h["ahead"]).alias("match"), h["ahead"].alias("ahead")))
+    none = F.array().cast("array<struct<start:int,match:string,near:string>>")
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit(0).alias("last"), none.alias("found"))
+
+    def step(a: Column, x: Column) -> Column:
+        start, before = a["at"] + F.length(x["gap"]), F.concat(a["tail"], x["gap"])
+        near = F.concat(F.right(before, F.least(F.lit(BEFORE), start - a["last"])), F.lit(" "), F.substring(x["ahead"], F.length(x["match"]) + 1, F.lit(AFTER)))
+        good = x["match"].isNotNull() & (start >= a["last"])
+        found = F.when(good, F.array_append(a["found"], F.struct(start.alias("start"), x["match"].alias("match"), near.alias("near")))).otherwise(a["found"])
+        head = F.coalesce(x["head"], F.lit(""))
+        return F.struct((start + F.length(head)).alias("at"), F.right(F.concat(before, head), F.lit(BEFORE)).alias("tail"), F.when(good, start + F.length(x["match"])).otherwise(a["last"]).alias("last"), found.alias("found"))
+
+    return F.when(F.rlike(text, F.lit(need)), F.aggregate(both, zero, step)["found"]).otherwise(none)
+
+
 def proposals(text: Column, kind: str) -> Column:
     """array<struct<start, match, near>> of a kind's matches, confirmed. near: what stands up to BEFORE characters before
     and AFTER characters after the match, as far as it belongs to no other match of the kind."""
+    if kind in ("iban", "natphone"):
+        return grouped(text, kind)
     need, pattern = PATTERNS[kind]
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
