@@ -101,3 +101,40 @@ def test_redaction(spark):
     got = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert got == {0: "write to <EMAIL> or <PHONE>!", 1: "nothing here", 2: None, 3: "é <CARD>", 4: "<IP>"}
     assert pii.redact(fixtures.odd(spark)).columns == fixtures.odd(spark).columns
+
+
+def test_very_many_matches(spark):
+    """Texts of 100,000 matches, confirmed or not, of one kind or several."""
+    import time
+
+    n = 100_000
+    texts = ["12x" * n + "4111 1111 1111 1111", "a@b.c " * n, "tel 030 1234 5678; 1.2.3.4 " * (n // 2), "DE89370400440532013000 " * n, "no such thing"]
+    df = fixtures.docs(spark, texts).repartition(5)
+    began = time.time()
+    got = {r.doc_id: r for r in pii.digest(pii.find(df)).collect()}
+    assert got[0].spans == f"card:{3 * n}:{3 * n + 19}" and got[1].n_email == n and got[1].spans.endswith(f",email:{6 * n - 6}:{6 * n - 1}")
+    assert got[2].n_ip == got[2].n_natphone == n // 2 and got[3].n_iban == n and got[4].spans == got[4].scores == ""
+    new = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert new[0] == "12x" * n + "<CARD>" and new[1] == "<EMAIL> " * n and new[2] == "tel <NATPHONE>; <IP> " * (n // 2) and new[3] == "<IBAN> " * n
+    assert time.time() - began < 120
+
+
+def test_overlapping_spans(spark):
+    """The passes over sorted spans against pairs, and replaced stretches against a plain loop."""
+    rng = random.Random(8)
+    parts = ["phone 030 1234 5678", "tel 030 1234 1.2.3.4", "+49 30 1234 5678 90", "tel 06 12 34 56 78 a@b.c", "4111 1111 1111 1111", "1.2.3.4", "a@1.2.3.4", "token: 06-12-34-56-78-90-12", "DE89 3704 0044 0532 0130 00"]
+    texts = [rng.choice(["", " ", "é "]).join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) for _ in range(400)]
+    df = fixtures.docs(spark, texts).repartition(4)
+    found = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    new = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert sum(len(v) for v in found.values()) > 500
+    for i, t in enumerate(texts):
+        others = [s for s in found[i] if s.kind != "natphone"]
+        assert not any(a.start < b.end and b.start < a.end for a in others for b in found[i] if b.kind == "natphone")
+        out, at, end = "", 0, -1
+        for s in found[i]:
+            if s.start >= end:
+                out += t[at : s.start] + f"<{s.kind.upper()}>"
+            end = max(end, s.end)
+            at = end
+        assert new[i] == out + t[at:]

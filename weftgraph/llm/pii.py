@@ -12,7 +12,8 @@ where a word such as tel or phone stands before it, and outside of base spans).
 Positions come from the text between matches: split() and regexp_extract_all() see the same matches, so the start of
 match i is the length of all pieces and matches before it. Patterns use possessive quantifiers and start at the start of
 a run of their characters (or where the match before ended), which finds the same matches and keeps long runs of
-characters linear. The patterns of iban and natphone match the first group only; of what follows, the longest stretch that
+characters linear. Lists are built block by block (``folded``), so a text of very many matches stays near linear too, and
+what overlaps is told by two passes over sorted spans, not by pairs. The patterns of iban and natphone match the first group only; of what follows, the longest stretch that
 ends with a group and passes the check is the span, so a word or number behind it does no harm.
 
 Edge cases. Null text counts as empty: no spans. Null or repeated ids are kept as they are. An empty table gives an empty
@@ -33,9 +34,9 @@ PATTERNS = {
     "ip": ("[0-9]\\.[0-9]", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": ("[0-9](?:[ -]?[0-9]){13}", r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": ("\\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    "iban": ("[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])(?=([\s\S]{1,90}))[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"),
+    "iban": ("[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11})(?=([\s\S]{1,90}))[A-Z]{2}[0-9]{2}"),
     "secret": ("[=:]", r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)\b\x20{0,3}[=:]\x20{0,3}[\x22']?[A-Za-z0-9+/_.~-]{16,512}+[\x22']?"),
-    "natphone": ("[0-9]{2}", r"(?<![0-9A-Za-z+.])(?=([\s\S]{1,90}))\(?[0-9]{2,5}\)?(?=[\x20./-][0-9]{2})"),
+    "natphone": ("[0-9]{2}", r"(?<![0-9A-Za-z+.])(?=\(?[0-9]{2,5}\)?[\x20./-][0-9]{2})(?=([\s\S]{1,90}))\(?[0-9]{2,5}\)?(?=[\x20./-][0-9]{2})"),
 }
 BASE = ("email", "ip", "card", "phone")
 KINDS = tuple(PATTERNS)
@@ -106,23 +107,51 @@ def _longest(kind: str, ahead: Column) -> Column:
     return F.try_element_at(F.filter(tries, lambda m: confirmed(kind, m)), F.lit(-1))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """The items in order, in about as many lists as each list has items."""
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items))).cast("int"))
+    return _let(size, lambda b: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(items)), b), lambda i: F.slice(items, i, b)))
+
+
+def folded(items: Column, state: Column, found: str, step) -> Column:
+    """What ``step`` appends to the field ``found`` (an array of that type) while it goes over the items; the other fields
+    of the struct ``state`` are carried along. Appending to an array copies it, so each block of items has a list of its
+    own: n items cost about n ** 1.5 copied references, not n ** 2."""
+    none = F.array().cast(found)
+
+    def block(a: Column, part: Column) -> Column:
+        return F.array_append(a, F.aggregate(part, F.element_at(a, -1).withField("found", none), step))
+
+    def whole(x: Column) -> Column:
+        return F.flatten(F.transform(F.aggregate(_blocks(x), F.array(state.withField("found", none)), block), lambda r: r["found"]))
+
+    return _let(items, whole)
+
+
+_MATCHES = "array<struct<start:int,match:string,near:string>>"
+
+
 def grouped(text: Column, kind: str) -> Column:
     """proposals() for iban and natphone: leftmost, non-overlapping, each the longest that is confirmed."""
     need, pattern = PATTERNS[kind]
     hits = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("head"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("ahead"))
     both = F.zip_with(F.split(text, pattern, -1), hits, lambda g, h: F.struct(g.alias("gap"), h["head"].alias("head"), _longest(kind, h["ahead"]).alias("match"), h["ahead"].alias("ahead")))
-    none = F.array().cast("array<struct<start:int,match:string,near:string>>")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit(0).alias("last"), none.alias("found"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.lit(0).alias("last"))
 
     def step(a: Column, x: Column) -> Column:
-        start, before = a["at"] + F.length(x["gap"]), F.concat(a["tail"], x["gap"])
+        start, before = a["at"] + F.length(x["gap"]), F.concat(a["tail"], F.right(x["gap"], F.lit(BEFORE)))
         near = F.concat(F.right(before, F.least(F.lit(BEFORE), start - a["last"])), F.lit(" "), F.substring(x["ahead"], F.length(x["match"]) + 1, F.lit(AFTER)))
         good = x["match"].isNotNull() & (start >= a["last"])
         found = F.when(good, F.array_append(a["found"], F.struct(start.alias("start"), x["match"].alias("match"), near.alias("near")))).otherwise(a["found"])
         head = F.coalesce(x["head"], F.lit(""))
         return F.struct((start + F.length(head)).alias("at"), F.right(F.concat(before, head), F.lit(BEFORE)).alias("tail"), F.when(good, start + F.length(x["match"])).otherwise(a["last"]).alias("last"), found.alias("found"))
 
-    return F.when(F.rlike(text, F.lit(need)), F.aggregate(both, zero, step)["found"]).otherwise(none)
+    return F.when(F.rlike(text, F.lit(need)), folded(both, zero, _MATCHES, step)).otherwise(F.array().cast(_MATCHES))
 
 
 def proposals(text: Column, kind: str) -> Column:
@@ -131,20 +160,19 @@ def proposals(text: Column, kind: str) -> Column:
     if kind in ("iban", "natphone"):
         return grouped(text, kind)
     need, pattern = PATTERNS[kind]
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    both = F.zip_with(F.arrays_zip(gaps.alias("gap"), F.slice(gaps, 2, F.greatest(F.lit(1), F.size(gaps))).alias("after")), hits, lambda g, m: F.struct(F.length(g["gap"]).alias("gap"), m.alias("match"), F.concat(F.right(g["gap"], F.lit(BEFORE)), F.lit(" "), F.left(F.coalesce(g["after"], F.lit("")), F.lit(AFTER))).alias("near")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string,near:string>>").alias("found"))
+
+    def pieces(gaps: Column) -> Column:
+        around = F.zip_with(gaps, F.slice(gaps, 2, F.greatest(F.lit(1), F.size(gaps))), lambda g, after: F.struct(F.length(g).alias("gap"), F.concat(F.right(g, F.lit(BEFORE)), F.lit(" "), F.left(F.coalesce(after, F.lit("")), F.lit(AFTER))).alias("near")))
+        return F.zip_with(around, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(g["gap"].alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("size"), F.when(confirmed(kind, m), m).alias("match"), g["near"].alias("near")))
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + x["gap"]
         found = F.when(x["match"].isNull(), a["found"]).otherwise(F.array_append(a["found"], F.struct(start.alias("start"), x["match"].alias("match"), x["near"].alias("near"))))
-        return F.struct((start + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"), found.alias("found"))
+        return F.struct((start + x["size"]).alias("at"), found.alias("found"))
 
-    found = F.aggregate(both, zero, step)["found"]
-    found = F.filter(found, lambda s: confirmed(kind, s["match"]))
+    found = folded(_let(F.split(text, pattern, -1), pieces), F.struct(F.lit(0).alias("at")), _MATCHES, step)
     wanted = F.contains(text, F.lit(need)) if kind == "email" else F.rlike(text, F.lit(need))
-    return F.when(wanted, found).otherwise(F.array().cast("array<struct<start:int,match:string,near:string>>"))
+    return F.when(wanted, found).otherwise(F.array().cast(_MATCHES))
 
 
 def _scored(kind: str, found: Column) -> Column:
@@ -163,16 +191,36 @@ def _ordered(i: int):
     return lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("order"), s["end"].alias("end"), s["kind"].alias("kind"), s["score"].alias("score"))
 
 
+_ORDERED = "array<struct<start:int,order:int,end:int,kind:string,score:double>>"
+_LAST = 2**31 - 1
+
+
+def _clear(spans: Column) -> Column:
+    """Sorted spans without the natphones that overlap a span of another kind. Going forward, the largest end so far tells
+    of spans that begin before one does; going backward, the smallest start so far of those that begin after."""
+
+    def pass_over(items: Column, edge: int, meets, further) -> Column:
+        def step(a: Column, s: Column) -> Column:
+            weak = s["kind"] == "natphone"
+            found = F.when(weak & meets(s, a["edge"]), a["found"]).otherwise(F.array_append(a["found"], s))
+            return F.struct(F.when(weak, a["edge"]).otherwise(further(s, a["edge"])).alias("edge"), found.alias("found"))
+
+        return folded(items, F.struct(F.lit(edge).alias("edge")), _ORDERED, step)
+
+    forward = pass_over(spans, 0, lambda s, edge: s["start"] < edge, lambda s, edge: F.greatest(edge, s["end"]))
+    return F.reverse(pass_over(F.reverse(forward), _LAST, lambda s, edge: s["end"] > edge, lambda s, edge: F.least(edge, s["start"])))
+
+
 def with_spans(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with all spans of a text column, ordered by start, then by kind as listed."""
     for k in KINDS:
         df = df.withColumn(f"{name}_{k}", _scored(k, proposals(F.col(text), k)))
-    base = F.concat(*[F.col(f"{name}_{k}") for k in BASE])
     # A national number is kept with a word for phones before it, and only outside of the other spans.
-    df = df.withColumn(f"{name}_natphone", F.filter(F.col(f"{name}_natphone"), lambda s: (s["score"] >= 0.4) & ~F.exists(F.concat(base, F.col(f"{name}_iban"), F.col(f"{name}_secret")), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
-    every = F.concat(*[F.transform(F.col(f"{name}_{k}"), _ordered(i)) for i, k in enumerate(KINDS)])
-    spans = F.transform(F.sort_array(every), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["score"].alias("score")))
-    return df.withColumn(name, spans).drop(*[f"{name}_{k}" for k in KINDS])
+    df = df.withColumn(f"{name}_natphone", F.filter(F.col(f"{name}_natphone"), lambda s: s["score"] >= 0.4))
+    every = F.sort_array(F.concat(*[F.transform(F.col(f"{name}_{k}"), _ordered(i)) for i, k in enumerate(KINDS)]))
+    df = df.withColumn(name, every)
+    df = df.withColumn(name, F.when(F.size(f"{name}_natphone") > 0, _clear(F.col(name))).otherwise(F.col(name)))
+    return df.withColumn(name, F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["score"].alias("score")))).drop(*[f"{name}_{k}" for k in KINDS])
 
 
 def listed(spans: Column) -> Column:
@@ -187,28 +235,46 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The query's columns from those of find(): counts and the base spans' digest, all spans as a string."""
+    """The query's columns from those of find(): counts by kind, the base spans' digest, all spans as a string, and the
+    spans' scores in the same order."""
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    scores = F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",")
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), scores.alias("scores"))
+
+
+def _unions(spans: Column) -> Column:
+    """Sorted spans to stretches (a: end of the stretch before, start, end, kind of its first span)."""
+    flush = F.struct(F.lit(_LAST).alias("start"), F.lit(_LAST).alias("end"), F.lit("").alias("kind"))
+    items = F.concat(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))), F.array(flush))
+    zero = F.struct(F.lit(0).alias("a"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit("").alias("kind"))
+
+    def step(u: Column, s: Column) -> Column:
+        grows = (u["start"] >= 0) & (s["start"] < u["end"])
+        closed = (u["start"] >= 0) & ~grows
+        done = F.struct(u["a"].alias("a"), u["start"].alias("start"), u["end"].alias("end"), u["kind"].alias("kind"))
+        return F.struct(F.when(closed, u["end"]).otherwise(u["a"]).alias("a"), F.when(grows, u["start"]).otherwise(s["start"]).alias("start"), F.when(grows, F.greatest(u["end"], s["end"])).otherwise(s["end"]).alias("end"), F.when(grows, u["kind"]).otherwise(s["kind"]).alias("kind"), F.when(closed, F.array_append(u["found"], done)).otherwise(u["found"]).alias("found"))
+
+    return folded(items, zero, "array<struct<a:int,start:int,end:int,kind:string>>", step)
+
+
+def _replaced(text: Column, stretches: Column) -> Column:
+    """The text with each stretch named. Positions are counted from a text's start, so the text is first cut where a block
+    of stretches ends, and each block's stretches are cut out of its own part."""
+
+    def part(block: Column) -> Column:
+        base = block[0]["a"]
+        cut = lambda sub: F.array_join(F.transform(block, lambda c: F.concat(F.substring(sub, c["a"] - base + 1, c["start"] - c["a"]), F.lit("<"), F.upper(c["kind"]), F.lit(">"))), "")
+        return _let(F.substring(text, base + 1, F.element_at(block, -1)["end"] - base), cut)
+
+    rest = F.substring(text, F.element_at(stretches, -1)["end"] + 1, F.length(text))
+    return F.concat(F.array_join(F.transform(_blocks(stretches), part), ""), rest)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each span of the text replaced by its kind in angle brackets, <EMAIL>; of overlapping spans the first
     (then the one listed first) is named and the replaced stretch is their union. Null stays null."""
     rows = with_spans(docs.withColumn("__pii_text", text_or_empty(text_col)), "__pii_text", "__pii_spans")
-    zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        last = F.element_at(a["out"], -1)
-        grown = F.concat(F.slice(a["out"], 1, F.greatest(F.lit(0), F.size(a["out"]) - 1)), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))))
-        added = F.array_append(a["out"], F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-        return F.struct(F.greatest(a["end"], s["end"]).alias("end"), F.when((F.size(a["out"]) > 0) & (s["start"] < a["end"]), grown).otherwise(added).alias("out"))
-
-    rows = rows.withColumn("__pii_spans", F.aggregate("__pii_spans", zero, step)["out"])
-    starts = F.concat(F.array(F.lit(0)), F.transform("__pii_spans", lambda s: s["end"]))
-    ends = F.concat(F.transform("__pii_spans", lambda s: s["start"]), F.array(F.length("__pii_text")))
-    names = F.concat(F.transform("__pii_spans", lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))), F.array(F.lit("")))
-    cuts = F.arrays_zip(starts.alias("a"), ends.alias("b"), names.alias("k"))
-    new = F.array_join(F.transform(cuts, lambda c: F.concat(F.substring(F.col("__pii_text"), c["a"] + 1, c["b"] - c["a"]), c["k"])), "")
+    rows = rows.withColumn("__pii_spans", _unions(F.col("__pii_spans")))
+    new = _replaced(F.col("__pii_text"), F.col("__pii_spans"))
     return rows.withColumn(text_col, F.when(F.col(text_col).isNull() | (F.size("__pii_spans") == 0), F.col(text_col)).otherwise(new)).drop("__pii_text", "__pii_spans")
