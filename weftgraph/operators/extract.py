@@ -37,13 +37,23 @@ def attributes(**known: Column) -> Column:
     return F.struct(*[known.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields])
 
 
+def _found(kind: str) -> Column:
+    """All matches of a kind in ``content``, with their kind."""
+    return F.transform(scan.matches(F.coalesce("content", F.lit("")), PATTERNS[kind], 2), lambda m: F.struct(F.lit(kind).alias("kind"), m["groups"].alias("g"), m["line"].alias("line")))
+
+
+def _columns() -> list[Column]:
+    """The columns of items from a match ``m``."""
+    kind, g, line = F.col("m.kind"), F.col("m.g"), F.col("m.line")
+    function = kind == "Function"
+    attrs = attributes(is_async=F.when(function, F.contains(g[0], F.lit("async "))), is_const=F.when(function, F.contains(g[0], F.lit("const "))), is_tuple=F.when(kind == "Struct", F.lit(False)), variant_count=F.when(kind == "Enum", F.lit(0)))
+    prefix = F.when(function, PREFIX["Function"]).when(kind == "Struct", PREFIX["Struct"]).otherwise(PREFIX["Enum"])
+    return [F.concat_ws(":", prefix, g[2], line).alias("item_id"), kind.alias("kind"), g[2].alias("name"), visibility(g[1]).alias("visibility"), visibility_scope(g[1]).alias("vis_scope"), line.alias("line_start"), line.alias("line_end"), attrs.alias("attrs")]
+
+
 def items_of(files: DataFrame, kind: str) -> DataFrame:
     """One kind's items in text order: path, pos, and the columns of items."""
-    found = files.select("path", F.posexplode(scan.matches(F.coalesce("content", F.lit("")), PATTERNS[kind], 2)).alias("pos", "m"))
-    g = F.col("m.groups")
-    attrs = {"Function": attributes(is_async=F.contains(g[0], F.lit("async ")), is_const=F.contains(g[0], F.lit("const "))), "Struct": attributes(is_tuple=F.lit(False)), "Enum": attributes(variant_count=F.lit(0))}[kind]
-    vis, line = F.coalesce(g[1], F.lit("")), F.col("m.line")
-    return found.select("path", "pos", F.concat_ws(":", F.lit(PREFIX[kind]), g[2], line).alias("item_id"), F.lit(kind).alias("kind"), g[2].alias("name"), visibility(vis).alias("visibility"), visibility_scope(vis).alias("vis_scope"), line.alias("line_start"), line.alias("line_end"), attrs.alias("attrs"))
+    return files.select("path", F.posexplode(_found(kind)).alias("pos", "m")).select("path", "pos", *_columns())
 
 
 def file_items(files: DataFrame) -> DataFrame:
@@ -53,24 +63,10 @@ def file_items(files: DataFrame) -> DataFrame:
 
 
 def items(files: DataFrame) -> DataFrame:
-    """All items: the file's own, then functions, structs and enums, each in text order. Ordinals are offsets by the
-    number of matches of the kinds before, so no shuffle is needed."""
-    text = F.coalesce("content", F.lit(""))
-    sizes = [F.regexp_count(text, F.lit(PATTERNS[k])) for k in ("Function", "Struct")]
-    out = file_items(files)
-    for i, kind in enumerate(PATTERNS):
-        before = sum(sizes[:i], F.lit(1))
-        rows = items_of(files.select("path", "content"), kind)
-        rows = rows if i == 0 else _with_offset(files, kind, before)
-        ordinal = (F.col("pos") + (1 if i == 0 else F.col("offset"))).cast("int")
-        out = out.unionByName(rows.select("path", ordinal.alias("ordinal"), *[c for c in out.columns if c not in ("path", "ordinal")]))
-    return out
-
-
-def _with_offset(files: DataFrame, kind: str, offset: Column) -> DataFrame:
-    key = F.struct(F.col("path").alias("path"), offset.alias("offset"))
-    rows = items_of(files.select(key.alias("path"), "content"), kind)
-    return rows.withColumn("offset", F.col("path.offset")).withColumn("path", F.col("path.path"))
+    """All items: the file's own, then functions, structs and enums, each in text order. A file is searched once per
+    kind, and an item's place in the list of all matches is its ordinal, so nothing is shuffled."""
+    found = files.select("path", F.posexplode(F.concat(*[_found(k) for k in PATTERNS])).alias("pos", "m"))
+    return file_items(files).unionByName(found.select("path", (F.col("pos") + 1).alias("ordinal"), *_columns()))
 
 
 def imports(files: DataFrame) -> DataFrame:

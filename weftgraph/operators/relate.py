@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, scan
+from ..sources.shared import checkpointed
 from .resolve import Resolver
 
+# What a call looks like, and the words that make a definition of it.
 PATH_CALL = r"(?U)\b([A-Za-z_][A-Za-z0-9_]*(?:::[A-Za-z_][A-Za-z0-9_]*)+)\s*\("
 SIMPLE_CALL = r"(?U)\b([A-Za-z_][A-Za-z0-9_]*)\s*\("
 DEFINES = ("fn ", "struct ", "enum ", "trait ")
@@ -49,12 +51,19 @@ def import_uses(items: DataFrame, imports: DataFrame) -> DataFrame:
     return hit.select(*edge(file_id(), F.col("to_item"), "Uses", F.when(F.col("is_module"), "import-module").otherwise("import-item"), F.when(F.col("is_module"), 0.8).otherwise(1.0), F.col("import_path")))
 
 
+def _first(calls: DataFrame, name: Column) -> DataFrame:
+    """(path, name, pos): each name that a file calls once, with the place of its first call. What is joined is as large as
+    the distinct names of a file, however often they are called."""
+    return calls.groupBy("path", name.alias("called")).agg(F.min("pos").alias("pos"))
+
+
 def path_calls(files: DataFrame, items: DataFrame, imports: DataFrame) -> DataFrame:
-    """(path, to_item, context, pos): resolved path calls; where nothing resolves, functions named like the last part."""
-    calls = files.select("path", F.posexplode(scan.matches(F.coalesce("content", F.lit("")), PATH_CALL, 1)).alias("pos", "m")).select("path", "pos", F.col("m.groups")[1].alias("raw"))
-    distinct = calls.select("path", "raw").distinct()
-    targets = Resolver(items, imports).resolve(distinct)
-    rest = distinct.join(targets.select(F.col("from_path").alias("path"), "raw").distinct(), ["path", "raw"], "left_anti")
+    """(path, to_item, context, pos): resolved path calls; where nothing resolves, functions named like the last part. Of
+    equal calls of a file the first counts."""
+    calls = files.select("path", F.posexplode(scan.matches(F.coalesce("content", F.lit("")), PATH_CALL, 1)).alias("pos", "m"))
+    calls = checkpointed(_first(calls, F.col("m.groups")[1]).withColumnRenamed("called", "raw"))
+    targets = Resolver(items, imports).resolve(calls.select("path", "raw"))
+    rest = calls.select("path", "raw").join(targets.select(F.col("from_path").alias("path"), "raw").distinct(), ["path", "raw"], "left_anti")
     named = items.filter("kind = 'Function'").select("name", F.col("item_id").alias("to_item"))
     fallback = rest.withColumn("name", F.substring_index("raw", "::", -1)).join(named, "name").select("path", "raw", "to_item")
     every = targets.select(F.col("from_path").alias("path"), "raw", "to_item").unionByName(fallback)
@@ -63,14 +72,14 @@ def path_calls(files: DataFrame, items: DataFrame, imports: DataFrame) -> DataFr
 
 def simple_calls(files: DataFrame, items: DataFrame) -> DataFrame:
     """(path, to_item, context, pos): names before a parenthesis, unless one of DEFINES stands in the 8 bytes before, or an
-    exclamation mark is the last character before; targets are all functions of the name."""
+    exclamation mark is the last character before that is no white space; targets are all functions of the name. Of
+    equal calls of a file the first counts."""
     calls = files.select("path", F.posexplode(scan.matches(F.coalesce("content", F.lit("")), SIMPLE_CALL, 1)).alias("pos", "m"))
-    before = F.col("m.before")
-    window = F.substring(F.encode(before, "UTF-8"), -8, 8)
-    skip = F.regexp_extract(before, r"(?sU)(\S)\s*$", 1) == "!"
+    window = F.substring(F.encode(F.col("m.before"), "UTF-8"), -8, 8)
+    skip = F.col("m.last") == "!"
     for word in DEFINES:
         skip = skip | F.contains(window, F.lit(word.encode()))
-    calls = calls.filter(~skip).select("path", "pos", F.col("m.groups")[1].alias("name"))
+    calls = _first(calls.filter(~skip), F.col("m.groups")[1]).withColumnRenamed("called", "name")
     named = items.filter("kind = 'Function'").select("name", F.col("item_id").alias("to_item"))
     return calls.join(named, "name").select("path", "to_item", F.col("name").alias("context"), "pos")
 
