@@ -87,6 +87,41 @@ def test_random_graphs(spark, seed):
         assert len(got) == (d[target] + 1 if target in d else 0) and all(v in out[u] for u, v in zip(got, got[1:]))
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_cycles_in_the_order_of_a_search(spark, seed):
+    """The listing, its order and numbers against a plain recursive search over all files, ways into cycles included."""
+    rng = random.Random(seed)
+    nodes = {f"src/{'ab'[i % 2]}/f{i}.rs": f"fn:f{i}:1" for i in range(24)}
+    paths = list(nodes)
+    calls = {(rng.choice(paths[:12]), rng.choice(paths[:12])) for _ in range(16)} | {(rng.choice(paths[12:]), rng.choice(paths[12:])) for _ in range(18)}
+    g = graph(spark, nodes, [(nodes[a], nodes[b]) for a, b in calls])
+    key = lambda p: p.split("/")
+    found, seen = [], set()
+
+    def visit(u, trail):
+        seen.add(u)
+        for v in sorted((b for a, b in calls if a == u != b), key=key):
+            if v in trail + [u]:
+                found.append((trail + [u])[(trail + [u]).index(v) :])
+            elif v not in seen:
+                visit(v, trail + [u])
+
+    for p in sorted(paths, key=key):
+        if p not in seen:
+            visit(p, [])
+    assert values(traverse.cycles(g).orderBy("cycle"), "cycle", "files", "length") == [(i, " -> ".join(c), len(c)) for i, c in enumerate(found)]
+    parts = {}
+    for r in traverse.strong_parts(traverse.call_edges(g)).collect():
+        parts.setdefault(r.label, set()).add(r.node)
+    assert all(any(set(c) <= p for p in parts.values()) for c in found)
+
+
+def test_exclamation_before_much_white_space(spark):
+    files = sources(spark, {"src/a.rs": "fn f() { if !" + " \n" * 400 + "ok() {} }\nfn ok() {}\nfn g() {" + "x(); " * 3000 + " ok() }\nfn x() {}\n"})
+    calls = {r["context"]: r["pos"] for r in relate.simple_calls(files, extract.items(files)).collect()}
+    assert calls.keys() == {"ok", "x"} and calls["ok"] > 3000
+
+
 def sources(spark, files):
     return spark.createDataFrame([(p, t, 0, len(t)) for p, t in files.items()], "path string, content string, mtime bigint, len bigint")
 

@@ -27,10 +27,11 @@ class CodeGraph:
     imports: DataFrame
     relationships: DataFrame
 
-    def item_owner(self) -> DataFrame:
-        """(item_id, path), one row per id: joins never fan out. Partial aggregates run before the shuffle."""
+    def item_owner(self, items: DataFrame | None = None) -> DataFrame:
+        """(item_id, path), one row per id: joins never fan out. Partial aggregates run before the shuffle. ``items``: all
+        items of the ids that are asked for, where not all are."""
         last = F.max(F.struct(paths.parts("path").alias("key"), F.col("path").alias("path")))
-        return self.items.groupBy("item_id").agg(last["path"].alias("path"))
+        return (self.items if items is None else items).groupBy("item_id").agg(last["path"].alias("path"))
 
     def file_edges(self) -> DataFrame:
         """(src_path, dst_path, rel_type): relationships between known files, without loops; multi-edges are kept.

@@ -15,12 +15,19 @@ def page(df: DataFrame, order: list, offset: int = 0, limit: int | None = None)
     return df if limit is None else df.limit(limit)
 
 
+def _owned(graph: CodeGraph, ids: DataFrame) -> DataFrame:
+    """item_owner() of the given ids (distinct item_id) only."""
+    return graph.item_owner(graph.items.join(ids, "item_id", "left_semi"))
+
+
 def connected_files(graph: CodeGraph, file: str) -> DataFrame:
-    """Other files with an edge to or from the file."""
-    edges = graph.file_edges()
-    out = edges.filter(F.col("src_path") == file).select(F.col("dst_path").alias("path"))
-    into = edges.filter(F.col("dst_path") == file).select(F.col("src_path").alias("path"))
-    return out.unionByName(into).distinct().orderBy(paths.parts("path"))
+    """Other files with an edge to or from the file. Starts from the file's own items: of the edges only theirs are kept, in
+    one pass, and owners are sought for the other ends of these only."""
+    here = graph.items.filter(F.col("path") == file).select("item_id").distinct()
+    own = _owned(graph, here).filter(F.col("path") == file).select(F.col("item_id").alias("near"))
+    ends = F.explode(F.array(F.struct(F.col("from_item").alias("near"), F.col("to_item").alias("item_id")), F.struct(F.col("to_item").alias("near"), F.col("from_item").alias("item_id"))))
+    far = graph.relationships.select(ends.alias("e")).select("e.near", "e.item_id").join(own, "near", "left_semi").select("item_id").distinct()
+    return _owned(graph, far).filter(F.col("path") != file).select("path").distinct().orderBy(paths.parts("path"))
 
 
 def function_usage(graph: CodeGraph, name: str, direction: str = "callers") -> DataFrame:
@@ -28,13 +35,14 @@ def function_usage(graph: CodeGraph, name: str, direction: str = "callers") -> D
     near, far = ("to_item", "from_item") if direction == "callers" else ("from_item", "to_item")
     ids = graph.items.filter((F.col("kind") == "Function") & (F.col("name") == name)).select(F.col("item_id").alias(near)).distinct()
     ends = graph.relationships.join(ids, near, "left_semi").select(F.col(far).alias("item_id")).distinct()
-    return ends.join(graph.item_owner(), "item_id").select("path").distinct().orderBy(paths.parts("path"))
+    return _owned(graph, ends).select("path").distinct().orderBy(paths.parts("path"))
 
 
 def degrees(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """(key, indegree, outdegree) of every node; ``n`` counts multi-edges."""
-    ends = edges.select(F.col("src").alias(key), F.col("n").alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias(key), F.lit(0).alias("o"), F.col("n").alias("i")))
-    sums = ends.groupBy(key).agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    """(key, indegree, outdegree) of every node, in one pass over the edges; ``n`` counts multi-edges."""
+    zero = F.lit(0).cast("bigint")
+    ends = F.explode(F.array(F.struct(F.col("src").alias("key"), F.col("n").alias("o"), zero.alias("i")), F.struct(F.col("dst").alias("key"), zero.alias("o"), F.col("n").alias("i"))))
+    sums = edges.select(ends.alias("e")).groupBy(F.col("e.key").alias(key)).agg(F.sum("e.i").alias("i"), F.sum("e.o").alias("o"))
     return nodes.join(sums, key, "left").select(key, F.coalesce("i", F.lit(0)).cast("bigint").alias("indegree"), F.coalesce("o", F.lit(0)).cast("bigint").alias("outdegree"))
 
 
@@ -65,7 +73,7 @@ def visibility_label(scoped: bool) -> Column:
     """scoped: pub(in X) with its X, else pub(in)."""
     inside = F.concat(F.lit("pub(in "), F.coalesce("vis_scope", F.lit("")), F.lit(")")) if scoped else F.lit("pub(in)")
     v = F.col("visibility")
-    return F.when(v == "Public", "pub").when(v == "PubCrate", "pub(crate)").when(v == "PubSuper", "pub(super)").when(v == "PubIn", inside).otherwise("private")
+    return F.when(v == "Public", "public").when(v == "PubCrate", "pub(crate)").when(v == "PubSuper", "pub(super)").when(v == "PubIn", inside).otherwise("private")
 
 
 def unreferenced_items(graph: CodeGraph, include_public: bool = False, exclude: str | None = None) -> DataFrame:
@@ -98,15 +106,41 @@ def item_relations(graph: CodeGraph, item_id: str, direction: str) -> DataFrame:
     """Edges into (inbound) or out of (outbound) an item whose other end is a known item."""
     near, far = ("to_item", "from_item") if direction == "inbound" else ("from_item", "to_item")
     edges = graph.relationships.filter(F.col(near) == item_id).select(F.col(far).alias("item_id"), relation_label().alias("relation"), "strength", "context")
-    return edges.join(graph.item_owner(), "item_id").select("item_id", "path", "relation", "strength", "context")
-
-
-def item_lookup(graph: CodeGraph, name: str, kind: str | None = None) -> DataFrame:
-    """Items of a name, best first: below src, then the shallowest, then by path. ``rank`` is shared by ties in the first
-    two; more than one row of rank 1 is an ambiguous name."""
+    ends = graph.items.join(edges.select("item_id").distinct(), "item_id", "left_semi")
+    names = ends.groupBy("item_id").agg(F.max(F.struct(paths.parts("path").alias("key"), F.col("ordinal").alias("ordinal"), F.col("path").alias("path"), F.col("name").alias("name"))).alias("m"))
+    return edges.join(names, "item_id").select("item_id", F.col("m.name").alias("name"), F.col("m.path").alias("path"), "relation", "strength", "context")
+
+
+#: An edge of an item, as item_details() lists it.
+EDGE = "struct<id:string,name:string,path:string,relation:string,context:string>"
+
+
+def item_details(graph: CodeGraph, item_id: str, verbose: bool = False) -> DataFrame:
+    """One row with all that is known of an item, none if there is no such item: id, path, kind, name, visibility,
+    line_start, line_end, code, inbound, outbound (EDGE lists in the order of ids). Unless ``verbose``, the code is null and
+    contexts are empty. The lists are as long as the one item's edges."""
+    out = item_info(graph, item_id).withColumnRenamed("item_id", "id")
+    code = item_code(graph, item_id).select("code") if verbose else None
+    out = out.crossJoin(F.broadcast(code.limit(1))) if verbose else out.withColumn("code", F.lit(None).cast("string"))
+    for direction in ("inbound", "outbound"):
+        context = F.col("context") if verbose else F.lit("")
+        edge = F.struct(F.col("item_id").alias("id"), "name", "path", "relation", context.alias("context"))
+        edges = item_relations(graph, item_id, direction).agg(F.sort_array(F.collect_list(edge)).alias(direction))
+        out = out.crossJoin(F.broadcast(edges))
+    return out
+
+
+def item_lookup(graph: CodeGraph, name: str, kind: str | None = None, root: str = "") -> DataFrame:
+    """Items of a name, best first: below the root's src folder, then the shallowest below any src, then by path. ``rank`` is
+    shared by ties in the first two; more than one row of rank 1 is an ambiguous name. Ranks come from counts by the first
+    two, as many rows as there are depths."""
     found = graph.items.filter(F.col("name") == name)
     found = found if kind is None else found.filter(F.lower("kind") == kind.lower())
     at = F.array_position(paths.parts("path"), "src").cast("int")
-    found = found.select("item_id", "path", F.lower("kind").alias("kind"), (at > 0).alias("in_src"), F.when(at > 0, F.size(paths.parts("path")) - at).otherwise(F.size(paths.parts("path"))).alias("depth"))
-    order = Window.orderBy(F.col("in_src").desc(), "depth")
-    return found.withColumn("rank", F.rank().over(order).cast("bigint")).orderBy("rank", paths.parts("path"))
+    below = F.filter(F.slice(paths.parts("path"), at + 1, F.size(paths.parts("path"))), lambda p: p != "src")
+    inside = F.startswith(F.col("path"), F.lit((root.rstrip("/") + "/" if root else "") + "src/"))
+    found = found.select("item_id", "path", F.lower("kind").alias("kind"), inside.alias("in_src"), F.when(at > 0, F.size(below)).otherwise(0).alias("depth"))
+    counts = found.groupBy("in_src", "depth").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy(F.col("in_src").desc(), "depth").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.select("in_src", "depth", (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).cast("bigint").alias("rank"))
+    return found.join(F.broadcast(ranks), ["in_src", "depth"]).select("item_id", "path", "kind", "in_src", "depth", "rank").orderBy("rank", paths.parts("path"))
