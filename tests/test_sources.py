@@ -1,8 +1,12 @@
 import json
+import os
+from pathlib import Path
 
 from weftgraph import cli
+from weftgraph.plans.build import CACHE_FOLDER, build_tree
 from weftgraph.render import dot, table
 from weftgraph.sources import cache, config, document, tree
+from weftgraph.sources.cache import CacheMode
 
 
 def project(folder, files):
@@ -67,9 +71,9 @@ def test_documents(spark, tmp_path, capsys):
     assert node["metrics"] == {"item_count": 3, "import_count": 0} and node["items"][0]["item_type"] == {"Module": {"is_inline": False}}
     assert {"PubIn": "in crate::x"} in [x["visibility"] for x in node["items"]] and whole["module_parent"][f"{root}/src/a.rs"] == f"{root}/src/lib.rs"
     assert cli.main(["query", "hubs", "--graph", back], spark) == 0
-    assert "indegree" not in capsys.readouterr().out
+    assert capsys.readouterr().out.splitlines()[1].split() == ["|", "Path", "|", "Total", "|"]
     assert cli.main(["-v", "query", "hubs", "--graph", back], spark) == 0
-    assert "indegree" in capsys.readouterr().out
+    assert capsys.readouterr().out.splitlines()[1].split() == ["|", "Path", "|", "In", "|", "Out", "|", "Total", "|"]
     (tmp_path / "bad.json").write_text("[]")
     assert cli.main(["query", "cycles", "--graph", str(tmp_path / "bad.json")], spark) == 1
 
@@ -90,6 +94,68 @@ def test_settings(spark, tmp_path, capsys):
     assert config.load(str(settings)) == {} == config.load(str(tmp_path / "none.toml"))
 
 
+def test_cache_modes(spark, tmp_path):
+    """Two files, then one changed, then one gone: entries 2, 2, 1. Unchanged files come from the cache, read or not."""
+    root = project(tmp_path / "p", {"src/lib.rs": "pub fn a() {}\npub mod m;\n", "src/m.rs": "pub fn b() {}\n"})
+    folder = f"{root}/{CACHE_FOLDER}"
+    entries = lambda: {r.path.removeprefix(root): (r.mtime, r.len) for r in cache.load(spark, folder).files.collect()}
+    built = lambda mode=CacheMode.USE: sorted((r.item_id) for r in build_tree(spark, root, mode).items.filter("ordinal > 0").collect())
+    assert cache.load(spark, folder) is None
+    assert built() == ["fn:a:1", "fn:b:1"] and len(first := entries()) == 2
+    project(tmp_path / "p", {"src/m.rs": "pub fn b() {}\npub fn c() {}\n"})
+    assert built() == ["fn:a:1", "fn:b:1", "fn:c:2"] and len(entries()) == 2
+    assert entries()["/src/m.rs"] != first["/src/m.rs"] and entries()["/src/lib.rs"] == first["/src/lib.rs"]
+    lib = tmp_path / "p/src/lib.rs"
+    before = lib.stat()
+    lib.write_text("pub fn z() {}\npub mod m;\n")  # of the same length
+    os.utime(lib, (before.st_atime, before.st_mtime))
+    assert "fn:a:1" in built() and "fn:z:1" in built(CacheMode.IGNORE) and "fn:z:1" in built()
+    (tmp_path / "p/src/m.rs").unlink()
+    assert built() == ["fn:z:1"] and len(entries()) == 1
+    assert built(CacheMode.REBUILD) == ["fn:z:1"] and [p.name for p in Path(folder).iterdir() if p.name.startswith("gen")] == ["gen-1"]
+    cache.clear(spark, folder)
+    assert cache.load(spark, folder) is None
+
+
+def test_cache_flags_and_errors(spark, tmp_path, capsys):
+    root = project(tmp_path / "p [x]", {"src/lib.rs": "\n  pub fn f() {}\n", "src/a b.rs": "fn g() { f(); }\n"})
+    for flag in ([], ["--rebuild"], ["--no-cache"]):
+        assert cli.main(["build", "--path", root, "--json", str(tmp_path / "g.json"), *flag], spark) == 0
+    assert json.loads((tmp_path / "g.json").read_text())["metadata"]["generated_at"].isdigit()
+    capsys.readouterr()
+    (tmp_path / "p [x]/src/bad.rs").write_bytes(b"fn x() {}\xff")
+    assert cli.main(["build", "--path", root], spark) == 1
+    assert capsys.readouterr().err.strip() == f"error: Invalid UTF-8 in file {root}/src/bad.rs"
+    assert len(cache.load(spark, f"{root}/{CACHE_FOLDER}").files.collect()) == 2
+
+
+def test_item_info_and_row_numbers(spark, tmp_path, capsys):
+    root = project(tmp_path / "p", {"src/lib.rs": "mod a;\nmod b;\npub fn twice() {}\n", "src/a.rs": "use crate::twice;\npub fn one() { twice(); }\n", "src/b.rs": "use crate::twice;\nfn one() { twice(); }\n", "vendor/src/v.rs": "fn twice() {}\n"})
+    saved = str(tmp_path / "g")
+    assert cli.main(["-q", "build", "-p", root, "--save", saved], spark) == 0
+    ask = lambda *words: (cli.main([*words, "-p", root, "--graph", saved], spark), capsys.readouterr())
+    code, out = ask("query", "item-info", "--name", "twice", "--kind", "function", "-f", "json")
+    info = json.loads(out.out)
+    assert code == 0 and info["id"] == "fn:twice:3" and info["visibility"] == "public" and info["code"] is None
+    assert {(r["id"], r["name"], r["relation"], r["context"]) for r in info["inbound"]} >= {(f"file:{root}/src/a.rs", "a", "Calls:heuristic", "")}
+    code, out = ask("-v", "query", "item-info", "--item-id", "fn:twice:3", "-f", "json")
+    assert "pub fn twice" in json.loads(out.out)["code"] and {r["context"] for r in json.loads(out.out)["inbound"]} >= {"twice", "auto"}
+    code, out = ask("query", "item-info", "--name", "one")
+    assert code == 1 and "ambiguous" in out.err and out.err.count("id=fn:one:2") == 2
+    assert ask("query", "item-info", "--item-id", "fn:none:1", "-f", "json")[1].out.strip() == "null"
+    assert ask("query", "item-info", "--item-id", "fn:none:1")[1].out.strip() == "<item not found>"
+    assert "Callees: <none>" in ask("query", "item-info", "--item-id", "fn:twice:3")[1].out
+    assert ask("query", "item-info", "--name", "nothing")[0] == 1
+    rows = ask("query", "connected-files", f"{root}/src/lib.rs", "--offset", "1")[1].out.splitlines()
+    assert rows[1].split() == ["|", "#", "|", "Path", "|"] and rows[3].split()[1] == "2"
+    assert ask("query", "path", f"{root}/vendor/src/v.rs", f"{root}/src/a.rs")[1].out.strip() == "<no path>"
+
+
+def test_settings_of_a_root(tmp_path):
+    root = project(tmp_path, {"weftgraph.toml": "[query]\ndefault_format = 'json'\n"})
+    assert config.near(root)["query"]["default_format"] == "json" and config.near(root + "/nowhere") == {}
+
+
 def test_completions(capsys):
     for shell in cli.SHELLS:
         assert cli.main(["completions", shell]) == 0

@@ -10,12 +10,14 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import ParseError, QueryError, WeftError
 from .functions import paths
 from .model import CodeGraph
 from .operators import queries, traverse
-from .plans.build import build
+from .plans.build import build_tree
 from .render import dot, table
 from .sources import config, document, store, tree
+from .sources.cache import CacheMode
 
 ON_OFF = {"on": True, "off": False}
 SHELLS = {
@@ -33,10 +35,10 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("-q", "--quiet", action="store_true")
     commands = top.add_subparsers(dest="command", required=True)
     common = argparse.ArgumentParser(add_help=False)
-    common.add_argument("-p", "--path", default=os.environ.get("RRE_PATH"))
+    common.add_argument("-p", "--path", default=os.environ.get("WEFTGRAPH_PATH"))
     common.add_argument("-c", "--config")
-    common.add_argument("-I", "--no-ignore", "--no-gitignore", "--all", "--ni", action="store_true", default=os.environ.get("KNOWLEDGE_RS_NO_IGNORE", "").lower() in ("1", "true"))
-    common.add_argument("--graph", default=os.environ.get("RRE_GRAPH"), help="a saved graph (a folder, or a .json document) instead of a path")
+    common.add_argument("-I", "--no-ignore", "--no-gitignore", "--all", "--ni", action="store_true", default=os.environ.get("WEFTGRAPH_NO_IGNORE", "").lower() in ("1", "true"))
+    common.add_argument("--graph", default=os.environ.get("WEFTGRAPH_GRAPH"), help="a saved graph (a folder, or a .json document) instead of a path")
     b = commands.add_parser("build", parents=[common])
     b.add_argument("--save")
     b.add_argument("--dot")
@@ -45,9 +47,11 @@ def parser() -> argparse.ArgumentParser:
     for name, choices in (("clusters", ON_OFF), ("legend", ON_OFF), ("theme", ["light", "dark"]), ("rankdir", ["LR", "TB"]), ("splines", ["curved", "ortho", "polyline"]), ("rounded", ON_OFF)):
         b.add_argument(f"--dot-{name}", choices=list(choices))
     b.add_argument("--svg-interactive", choices=list(ON_OFF))
+    b.add_argument("--no-cache", action="store_true", help="parse all files; the cache is written anew")
+    b.add_argument("--rebuild", action="store_true", help="clear the cache, then parse all files")
     commands.add_parser("completions").add_argument("shell", choices=list(SHELLS))
     asked = commands.add_parser("query").add_subparsers(dest="query", required=True)
-    common.add_argument("-f", "--format", choices=["text", "json"], default=os.environ.get("RRE_FORMAT"))
+    common.add_argument("-f", "--format", choices=["text", "json"], default=os.environ.get("WEFTGRAPH_FORMAT"))
     common.add_argument("--offset", type=int, default=0)
     common.add_argument("--limit", type=int)
     asked.add_parser("connected-files", parents=[common]).add_argument("file")
@@ -70,6 +74,7 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--item-id")
     q.add_argument("--name")
     q.add_argument("--kind")
+    q.add_argument("--show-code", action="store_true")
     return top
 
 
@@ -93,6 +98,37 @@ def _answer(g: CodeGraph, a) -> tuple[DataFrame, list]:
     return queries.unreferenced_items(g, a.include_public, a.exclude), [paths.parts("path"), "id"]
 
 
+def _as_json(query: str, rows: list):
+    """Paths as bare strings, cycles as lists of paths, all else as objects."""
+    if query in ("connected-files", "function-usage", "path"):
+        return [r["path"] for r in rows]
+    if query == "cycles":
+        return [r["files"].split(" -> ") for r in rows]
+    return [r.asDict() for r in rows]
+
+
+def _as_text(query: str, rows: list, a) -> str:
+    """The text form: lines or a grid, whose row numbers go on from the offset; more columns with -v."""
+    numbers = range(a.offset + 1, a.offset + len(rows) + 1)
+    if query == "connected-files":
+        return table.grid(["#", "Path"], [[n, r["path"]] for n, r in zip(numbers, rows)])
+    if query in ("function-usage", "cycles"):
+        return "\n".join(r["path" if query == "function-usage" else "files"] for r in rows)
+    if query == "path":
+        return table.grid(["Step", "Path"], [[n, r["path"]] for n, r in zip(numbers, rows)]) if rows else "<no path>"
+    if query in ("hubs", "module-centrality"):
+        name, total = rows[0].__fields__[0] if rows else "path", lambda r: r["indegree"] + r["outdegree"]
+        title = "Path" if query == "hubs" else "Module"
+        if a.verbose:
+            return table.grid([title, "In", "Out", "Total"], [[r[name], r["indegree"], r["outdegree"], total(r)] for r in rows])
+        return table.grid([title, "Total"], [[r[name], total(r)] for r in rows])
+    if query == "trait-impls":
+        columns = {"Path": "path"} | ({"Type": "type"} if a.verbose else {})
+        return table.grid(list(columns), [[r[c] for c in columns.values()] for r in rows]) if rows else "<no implementations found>"
+    columns = {"Path": "path", "ItemId": "id", "Name": "name", "Kind": "kind", "Vis": "visibility"} if a.verbose else {"Path": "path", "Name": "name"}
+    return table.grid(list(columns), [[r[c] for c in columns.values()] for r in rows]) if rows else "<no unreferenced items>"
+
+
 def _completions(top: argparse.ArgumentParser, shell: str) -> str:
     def words(p: argparse.ArgumentParser):
         for action in p._actions:
@@ -114,11 +150,16 @@ def _drawing(a, settings: dict) -> dict:
     return out
 
 
+def _root(a, settings: dict) -> str:
+    path = a.path or settings.get("root") or "."
+    return tree.project_root() if path == "." else path
+
+
 def _graph(spark: SparkSession, a, settings: dict) -> CodeGraph:
     if a.graph:
         return document.load(spark, a.graph) if a.graph.endswith(".json") else store.load(spark, a.graph)
-    path = a.path or settings.get("root") or "."
-    return build(tree.scan(spark, tree.project_root() if path == "." else path, not a.no_ignore))
+    mode = CacheMode.REBUILD if getattr(a, "rebuild", False) else CacheMode.IGNORE if getattr(a, "no_cache", False) else CacheMode.USE
+    return build_tree(spark, _root(a, settings), mode, not a.no_ignore)
 
 
 def _build(g: CodeGraph, a, settings: dict) -> int:
@@ -137,16 +178,14 @@ def _build(g: CodeGraph, a, settings: dict) -> int:
     return 0
 
 
-def _shown(df: DataFrame, a) -> DataFrame:
-    """The columns of a text table: fewer unless -v is given."""
-    if a.verbose or a.format == "json":
-        return df
-    if a.query in ("hubs", "module-centrality"):
-        value = F.col("indegree") + F.col("outdegree") if a.metric == "total" else F.col(f"{a.metric}degree")
-        return df.select(df.columns[0], value.alias(a.metric))
-    if a.query == "unreferenced-items":
-        return df.select("path", "name")
-    return df.select("path") if a.query == "trait-impls" else df
+def _failure(e: Exception) -> WeftError | None:
+    """The error of this library that an exception stands for, if it does."""
+    if isinstance(e, WeftError):
+        return e
+    text = str(e)
+    if tree.NOT_UTF8 in text:
+        return ParseError(tree.NOT_UTF8 + text.split(tree.NOT_UTF8, 1)[1].split("\n")[0].split(" SQLSTATE")[0])
+    return None
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -164,30 +203,39 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         wanted = a.format or settings.get("query", {}).get("default_format", "text")
         a.format = wanted if wanted in ("text", "json") else "text"
         if a.query == "item-info":
-            return _item(g, a)
+            return _item(g, a, settings)
         df, order = _answer(g, a)
-        df = _shown(queries.page(df, order, a.offset, a.limit), a)
-        rows = df.collect()
-    except Exception as e:
-        print(f"error: {e}", file=sys.stderr)
+        rows = queries.page(df, order, a.offset, a.limit).collect()
+    except Exception as e:  # the command line reports any error and says so by its exit code
+        print(f"error: {_failure(e) or e}", file=sys.stderr)
         return 1
-    print(table.as_json(rows) if a.format == "json" else table.grid(df.columns, [list(r) for r in rows]))
+    print(table.as_json(_as_json(a.query, rows)) if a.format == "json" else _as_text(a.query, rows, a))
     return 0
 
 
-def _item(g: CodeGraph, a) -> int:
-    item = a.item_id
-    if item is None:
-        found = queries.item_lookup(g, a.name or "", a.kind).limit(11).collect()
-        best = [r for r in found if r["rank"] == 1]
-        if len(best) != 1:
-            print("ambiguous name:" if best else "<item not found>", *[f"{r['item_id']} {r['path']}" for r in found[:10]], sep="\n", file=sys.stderr)
-            return 1
-        item = best[0]["item_id"]
-    parts = [queries.item_info(g, item), queries.item_code(g, item), *[queries.item_relations(g, item, d) for d in ("inbound", "outbound")]]
-    for df in parts:
-        rows = df.collect()
-        print(table.as_json(rows) if a.format == "json" else table.grid(df.columns, [list(r) for r in rows]))
+def _named(g: CodeGraph, a, settings: dict) -> str:
+    """The id of the best item of a name."""
+    if not a.name:
+        raise QueryError("item-info needs --item-id or --name")
+    root = a.path or settings.get("root") or os.getcwd()
+    found = queries.item_lookup(g, a.name, a.kind, root).limit(11).collect()
+    best = [r for r in found if r["rank"] == 1]
+    if not best:
+        raise QueryError(f"no item is named {a.name!r}")
+    if len(best) > 1:
+        raise QueryError("\n".join([f"the name {a.name!r} is ambiguous; --item-id or --kind tells apart:", *[f"- id={r['item_id']}  kind={r['kind']}  path={r['path']}" for r in found[:10]]]))
+    return best[0]["item_id"]
+
+
+def _item(g: CodeGraph, a, settings: dict) -> int:
+    """One result: the item's details, or null (text: <item not found>). JSON has code and contexts only with -v."""
+    item = a.item_id or _named(g, a, settings)
+    full = bool(a.verbose)
+    row = queries.item_details(g, item, full).first()
+    info = row.asDict(recursive=True) if row else None
+    if info and a.format == "text" and not a.show_code:
+        info["code"] = None
+    print(table.as_json(info) if a.format == "json" else table.item(info, full))
     return 0
 
 

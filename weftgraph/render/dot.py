@@ -8,6 +8,7 @@ import subprocess
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import RenderError
 from ..functions import paths
 from ..model import CodeGraph
 
@@ -60,7 +61,7 @@ def document(graph: CodeGraph, theme: str = "light", rankdir: str = "LR", spline
     items = node_lines(graph.items, theme, "    " if clusters else "  ").orderBy(paths.parts("path"), "ordinal").select("path", "line").collect()
     edges = [r["line"] for r in edge_lines(graph.relationships).orderBy("from_item", "rel_type", "to_item", "context").select("line").collect()]
     style = "filled,rounded" if rounded else "filled"
-    out = ["digraph KnowledgeRS", "{", f"  rankdir={rankdir};", f"  graph [fontname=Helvetica, splines={splines}] ;", f'  node [shape=box, fontsize=10, style="{style}"] ;', "  edge [fontsize=8] ;"]
+    out = ["digraph weftgraph", "{", f"  rankdir={rankdir};", f"  graph [fontname=Helvetica, splines={splines}] ;", f'  node [shape=box, fontsize=10, style="{style}"] ;', "  edge [fontsize=8] ;"]
     if clusters:
         from ..operators.relate import module_parents
 
@@ -98,11 +99,11 @@ def with_interaction(svg: str) -> str:
 
 
 def svg(text: str, interactive: bool = True) -> str:
-    """DOT text to SVG by Graphviz; RuntimeError if it isn't there or fails."""
+    """DOT text to SVG by Graphviz; RenderError if it isn't there or fails."""
     tool = shutil.which("dot")
     if tool is None:
-        raise RuntimeError("Graphviz (dot) is not installed")
+        raise RenderError("Graphviz (dot) is not installed")
     done = subprocess.run([tool, "-Tsvg"], input=text.encode(), capture_output=True)
     if done.returncode:
-        raise RuntimeError(f"dot failed: {done.stderr.decode(errors='replace')}")
+        raise RenderError(f"dot failed: {done.stderr.decode(errors='replace')}")
     return with_interaction(done.stdout.decode()) if interactive else done.stdout.decode()

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import tomllib
 
 SETTINGS = {"dot": {"clusters": bool, "legend": bool, "theme": str, "rankdir": str, "splines": str, "rounded": bool}, "svg": {"interactive": bool}, "query": {"default_format": str}}
 
 
+#: Names of the settings file that is looked for in a root.
+NAMES = ("weftgraph.toml", ".weftgraph.toml")
+
+
+def near(root: str) -> dict:
+    """The settings of the first such file in a root folder; empty without one."""
+    return next((load(p) for p in (os.path.join(root, n) for n in NAMES) if os.path.exists(p)), {})
+
+
 def load(path: str | None) -> dict:
     """{section: {setting: value}, "root": text}; a file that can't be read, or isn't such a file, counts as empty."""
     if path is None:

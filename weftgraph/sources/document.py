@@ -8,6 +8,7 @@ Of files of equal path the last stays. A document that is not one raises ValueEr
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +46,8 @@ def _grouped(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("ordinal", *[c for c in rows.columns if c != "ordinal"]))).alias(name))
 
 
-def parts(graph: CodeGraph, generated_at: str = ""):
-    """The document in pieces of text."""
+def parts(graph: CodeGraph, generated_at: str | None = None):
+    """The document in pieces of text. generated_at: now, in seconds since 1970, if it is not given."""
 
     def entries(rows, key=None):
         for n, (k, v) in enumerate(rows):
@@ -61,7 +62,7 @@ def parts(graph: CodeGraph, generated_at: str = ""):
     yield from entries(((r["path"], _file(r)) for r in files.toLocalIterator()), True)
     yield '\n  },\n  "relationships": ['
     yield from entries((None, _edge(r)) for r in graph.relationships.orderBy("from_item", "rel_type", "to_item", "context").toLocalIterator())
-    yield '\n  ],\n  "metadata": ' + json.dumps({"generated_at": generated_at})
+    yield '\n  ],\n  "metadata": ' + json.dumps({"generated_at": str(int(time.time())) if generated_at is None else generated_at})
     for name, rows in (("module_parent", hierarchy.orderBy("path")), ("module_children", below), ("module_segments", segments)):
         yield f',\n  "{name}": {{'
         yield from entries(((r[0], r[1]) for r in rows.toLocalIterator()), True)

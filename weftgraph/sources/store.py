@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..model import FILES, IMPORTS, ITEMS, RELATIONSHIPS, CodeGraph
+from .shared import exactly
 
 _PARTS = {"files": FILES, "items": ITEMS, "imports": IMPORTS, "relationships": RELATIONSHIPS}
 
@@ -15,4 +16,4 @@ def save(graph: CodeGraph, path: str) -> None:
 
 
 def load(spark: SparkSession, path: str) -> CodeGraph:
-    return CodeGraph(**{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in _PARTS.items()})
+    return CodeGraph(**{name: spark.read.schema(schema).parquet(exactly(f"{path}/{name}")) for name, schema in _PARTS.items()})

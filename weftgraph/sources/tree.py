@@ -1,18 +1,22 @@
-"""Source trees: discovery of .rs files under ignore rules on the driver, contents read by the executors.
+"""Source trees: discovery of .rs files under ignore rules on the driver, contents read by Spark's own reader.
 
-The root must be a folder that driver and executors share."""
+Ignore rules go from folder to folder, so the tree is listed by the driver (a path, a time and a length per file, as Spark
+does for any input). The root must be a folder that driver and executors share."""
 
 from __future__ import annotations
 
 import os
 import re
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import FILES
+from .shared import exactly
 
 IGNORE_FILES = (".gitignore", ".ignore")
+LISTING = "path string, mtime bigint, len bigint"
+NOT_UTF8 = "Invalid UTF-8 in file "
 
 
 def _regex(pattern: str) -> str:
@@ -122,20 +126,21 @@ def _absolute(rules: Rules) -> Rules:
     return rules
 
 
-def _read(batches):
-    for b in batches:
-        texts = []
-        for path in b.column(0).to_pylist():
-            with open(path, encoding="utf-8", newline="") as f:
-                texts.append(f.read())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(1), b.column(2)], ["path", "content", "mtime", "len"])
+def read(spark: SparkSession, listing: list[tuple[str, int, int]]) -> DataFrame:
+    """files(path, content, mtime, len) of a listing, read by Spark. A file that can't be read, or isn't UTF-8, fails the
+    job that reads it."""
+    if not listing:
+        return spark.createDataFrame([], FILES)
+    names = spark.createDataFrame([(os.path.abspath(p), p, t, n) for p, t, n in listing], f"place string, {LISTING}")
+    places = [exactly("file://" + os.path.abspath(p)) for p, _, _ in listing]
+    found = spark.read.format("binaryFile").load(places).select(F.regexp_replace("path", "^file:/+", "/").alias("place"), F.col("content").cast("string").alias("content"))
+    text = F.when(F.is_valid_utf8("content"), F.col("content")).when(F.col("content").isNull() & (F.col("len") == 0), "")  # empty files have no row
+    text = text.otherwise(F.raise_error(F.concat(F.when(F.col("content").isNull(), "Can't read file ").otherwise(NOT_UTF8), F.col("place"))))
+    return names.join(found, "place", "left").select("path", text.alias("content"), "mtime", "len")
 
 
-def scan(spark: SparkSession, root: str, ignore_rules: bool = True, listing: list | None = None) -> DataFrame:
-    """files(path, content, mtime, len). A file that can't be read, or isn't UTF-8, fails the scan."""
-    rows = discover(root, ignore_rules) if listing is None else listing
-    names = spark.createDataFrame(rows, "path string, mtime bigint, len bigint")
-    return names.repartition(max(1, min(len(rows) // 64 + 1, 1000)), "path").mapInArrow(_read, FILES)
+def scan(spark: SparkSession, root: str, ignore_rules: bool = True) -> DataFrame:
+    return read(spark, discover(root, ignore_rules))
 
 
 def project_root(start: str = ".") -> str:
