@@ -9,7 +9,8 @@ from ..functions import paths
 from ..operators import extract, queries, relate, resolve, traverse
 from ..render import dot
 from ..sources import adapters, cache
-from .build import build, parsed
+from ..sources.shared import checkpointed
+from .build import build, parsed, refreshed
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -87,8 +88,11 @@ def _(g):
     return queries.function_usage(g, "supplier_1", "callers")
 
 
-@_trade("function_usage_callees", "SELECT DISTINCT o.path FROM rel JOIN owner o ON to_item = o.item_id WHERE from_item IN (SELECT item_id FROM items WHERE kind = 'Function' AND name = 'supplier_1')")
-def _(g):
+@_query("function_usage_callees", "SELECT DISTINCT o.path FROM (SELECT from_item, to_item FROM rel UNION ALL SELECT 'fn:supplier_' || (l_suppkey + 1) || ':' || (l_suppkey + 1), 'enum:part_' || (l_partkey + 1) || ':' || (l_partkey + 1) FROM lineitem) r JOIN owner o ON to_item = o.item_id WHERE from_item IN (SELECT item_id FROM items WHERE kind = 'Function' AND name = 'supplier_1')", _TRADE)
+def _(spark, sf_dir):
+    """Suppliers as functions that use the parts they supply."""
+    g = adapters.trade_graph(spark, sf_dir)
+    g.relationships = g.relationships.unionByName(adapters.supplied_parts(spark, sf_dir))
     return queries.function_usage(g, "supplier_1", "callees")
 
 
@@ -112,7 +116,7 @@ def _(g):
     return relate.module_contains(g.files).select("from_item", "to_item", "rel_type", "rel_detail")
 
 
-_KINDS = "CASE visibility WHEN 'Public' THEN 'pub' WHEN 'PubCrate' THEN 'pub(crate)' ELSE 'private' END"
+_KINDS = "CASE visibility WHEN 'Public' THEN 'public' WHEN 'PubCrate' THEN 'pub(crate)' ELSE 'private' END"
 _UNUSED = f"SELECT path, item_id AS id, name, kind, {_KINDS} AS visibility FROM items WHERE ordinal > 0 AND item_id NOT IN (SELECT to_item FROM rel WHERE rel_type IN ('Uses', 'Calls'))"
 
 
@@ -144,6 +148,15 @@ def _(g):
     return queries.item_info(g, "fn:supplier_1:1")
 
 
+@_trade("item_details", f"""SELECT i.item_id AS id, i.name, i.kind, {_KINDS} AS visibility, i.path, CAST(i.ordinal AS BIGINT) AS line_start,
+  (SELECT string_agg(e.item_id || ' ' || e.name || ' ' || e.path || ' ' || rel_type || ':' || rel_detail, ',' ORDER BY e.item_id, e.name, e.path, rel_type) FROM rel JOIN items e ON e.item_id = from_item WHERE to_item = i.item_id) AS inbound,
+  (SELECT count(*) FROM rel JOIN items e ON e.item_id = to_item WHERE from_item = i.item_id) AS outbound
+  FROM items i WHERE i.item_id = 'fn:supplier_1:1'""")
+def _(g):
+    ends = F.transform("inbound", lambda e: F.concat_ws(" ", e["id"], e["name"], e["path"], e["relation"]))
+    return queries.item_details(g, "fn:supplier_1:1", True).select("id", "name", "kind", "visibility", "path", "line_start", F.array_join(ends, ",").alias("inbound"), F.size("outbound").cast("bigint").alias("outbound"))
+
+
 @_trade("item_lookup_ranked", "SELECT item_id, path, lower(kind) AS kind, len(string_split(path, '/')) - 1 AS depth, rank() OVER (ORDER BY len(string_split(path, '/'))) AS rank FROM items WHERE name = 'mod'")
 def _(g):
     return queries.item_lookup(g, "mod").select("item_id", "path", "kind", F.col("depth").cast("bigint").alias("depth"), "rank")
@@ -175,58 +188,96 @@ def _(spark, sf_dir):
     return traverse.cycle_members(adapters.sparse_trade_graph(spark, sf_dir))
 
 
-@_query("cycles", None)
+# A depth-first search step by step: the files on the trail, which neighbour of each is next, the files seen, and the cycle
+# that the step closes.
+_DFS = _SPARSE.replace("reach AS (SELECT u AS s, v AS t FROM e UNION SELECT s, v FROM reach JOIN e ON t = u)", """adj AS (SELECT u, list(v ORDER BY string_split(v, '/')) AS vs FROM e GROUP BY u),
+ns AS (SELECT list(p ORDER BY string_split(p, '/')) AS ps FROM (SELECT u AS p FROM e UNION SELECT v FROM e)),
+dfs AS (
+  SELECT 0 AS step, CAST([] AS VARCHAR[]) AS trail, CAST([] AS BIGINT[]) AS ptr, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS VARCHAR[]) AS hit
+  UNION ALL SELECT step + 1,
+    CASE WHEN root IS NOT NULL THEN [root] WHEN v IS NULL THEN list_slice(trail, 1, len(trail) - 1) WHEN NOT list_contains(seen, v) THEN list_append(trail, v) ELSE trail END,
+    CASE WHEN root IS NOT NULL THEN [CAST(1 AS BIGINT)] WHEN v IS NULL THEN list_slice(ptr, 1, len(ptr) - 1) WHEN NOT list_contains(seen, v) THEN list_append(list_append(list_slice(ptr, 1, len(ptr) - 1), ptr[len(ptr)] + 1), 1) ELSE list_append(list_slice(ptr, 1, len(ptr) - 1), ptr[len(ptr)] + 1) END,
+    CASE WHEN root IS NOT NULL THEN list_append(seen, root) WHEN v IS NOT NULL AND NOT list_contains(seen, v) THEN list_append(seen, v) ELSE seen END,
+    CASE WHEN v IS NOT NULL AND list_contains(trail, v) THEN list_slice(trail, list_position(trail, v), len(trail)) END
+  FROM (SELECT dfs.*, CASE WHEN len(trail) = 0 THEN list_filter(ps, lambda x: NOT list_contains(seen, x))[1] END AS root, CASE WHEN len(trail) > 0 THEN vs[ptr[len(ptr)]] END AS v FROM dfs CROSS JOIN ns LEFT JOIN adj ON adj.u = trail[len(trail)])
+  WHERE len(trail) > 0 OR root IS NOT NULL)
+""")
+
+
+@_query("cycles", "SELECT row_number() OVER (ORDER BY step) - 1 AS cycle, array_to_string(hit, ' -> ') AS files, CAST(len(hit) AS BIGINT) AS length FROM dfs WHERE hit IS NOT NULL", _DFS)
 def _(spark, sf_dir):
     return traverse.cycles(adapters.sparse_trade_graph(spark, sf_dir))
 
 
-_SUPPLY = _SPARSE.replace("reach AS (SELECT u AS s, v AS t FROM e UNION SELECT s, v FROM reach JOIN e ON t = u)", "walk AS (SELECT 'src/r0/n0.rs' AS node, 0 AS step UNION SELECT v, step + 1 FROM walk JOIN e ON node = u WHERE step < 25)")
+_WALK = _SPARSE.replace("reach AS (SELECT u AS s, v AS t FROM e UNION SELECT s, v FROM reach JOIN e ON t = u)", "walk AS (SELECT 'src/r0/n0.rs' AS node, 0 AS step UNION SELECT v, step + 1 FROM walk JOIN e ON node = u WHERE step < 25)")
 
 
-@_query("shortest_path_lengths", "SELECT node AS path, CAST(min(step) AS BIGINT) AS step FROM walk GROUP BY node", _SUPPLY)
+@_query("shortest_path_lengths", "SELECT node AS path, CAST(min(step) AS BIGINT) AS step FROM walk GROUP BY node", _WALK)
 def _(spark, sf_dir):
     """The length of the shortest path from one file to each file that it reaches (itself included)."""
     return traverse.distances(adapters.sparse_trade_graph(spark, sf_dir), "src/r0/n0.rs").select("path", "step")
 
 
-@_query("shortest_path", None)
+def _path_sql(target: str) -> str:
+    """From walk (node, step) and e (u, v): each file follows the smallest predecessor."""
+    return f""", lev AS (SELECT node, min(step) AS step FROM walk GROUP BY node),
+par AS (SELECT b.node, arg_min(a.node, string_split(a.node, '/')) AS parent FROM e JOIN lev a ON a.node = u JOIN lev b ON b.node = v WHERE b.step = a.step + 1 GROUP BY b.node),
+back AS (SELECT node, step FROM lev WHERE node = '{target}' UNION ALL SELECT parent, step - 1 FROM back JOIN par USING (node))
+SELECT CAST(step AS BIGINT) AS step, node AS path FROM back"""
+
+
+@_query("shortest_path", _TRADE.replace("WITH nf", "WITH RECURSIVE nf", 1) + f", e AS (SELECT DISTINCT src AS u, dst AS v FROM fe), walk AS (SELECT '{_ONE}' AS node, 0 AS step UNION SELECT v, step + 1 FROM walk JOIN e ON node = u WHERE step < 6)" + _path_sql("src/parts/brand12.rs"))
 def _(spark, sf_dir):
     return traverse.shortest_path(adapters.trade_graph(spark, sf_dir), _ONE, "src/parts/brand12.rs")
 
 
-# ---- generated sources in SQL -----------------------------------------------------------------------------------------
+@_query("shortest_path_sparse", _WALK + _path_sql("src/r4/n14.rs"))
+def _(spark, sf_dir):
+    return traverse.shortest_path(adapters.sparse_trade_graph(spark, sf_dir), "src/r0/n0.rs", "src/r4/n14.rs")
 
-_SOURCES = r"""
-WITH s0 AS (SELECT s_suppkey AS k, s_nationkey AS n, lag(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS j FROM supplier),
-src AS (
-  SELECT 'src/m' || n || '/s' || k || '.rs' AS path,
-    CASE WHEN j IS NOT NULL THEN 'use crate::m' || n || '::s' || j || '::f' || j || ';' || chr(10) ELSE '' END
-    || 'use crate::m' || n || '::top' || n || ' as up' || k || ';' || chr(10) || 'use a::{b, c};' || chr(10) || chr(10) || chr(10)
-    || CASE WHEN j IS NOT NULL THEN 'pub fn f' || k || '() { f' || j || '(); crate::m' || n || '::s' || j || '::f' || j || '(); if !run' || j || '() {} }' || chr(10) ELSE 'pub fn f' || k || '() { up' || k || '(); super::top' || n || '(); }' || chr(10) END
-    || chr(10) || 'struct S' || k || ' { a: u8 }' || chr(10) || 'pub(crate) enum E' || k || ' { A, B }' || chr(10) || 'fn generic<T>(x: T) {}' || chr(10) || chr(10) || 'pub(in crate::m' || n || ') async fn run' || k || '() { top' || n || '(); }' || chr(10) AS content
-  FROM s0
-  UNION ALL SELECT 'src/m' || n_nationkey || '/mod.rs', 'pub fn top' || n_nationkey || '() {}' || chr(10) FROM nation
-  UNION ALL SELECT 'src/lib.rs', 'pub mod shared;' || chr(10))
+
+# Blocks of six suppliers: those with an even number are rings, the others chains that lead into the next ring.
+_RINGS = """
+WITH s AS (SELECT s_suppkey AS k, s_suppkey // 6 AS b, 'src/b' || (s_suppkey // 6) || '/s' || s_suppkey || '.rs' AS path FROM supplier),
+c AS (SELECT b, count(*) AS n, min(k) AS lowest, arg_min(k, path) AS least, min(path) AS root FROM s GROUP BY b),
+ring AS (SELECT c.b, c.n, CASE WHEN p.root < c.root THEN c.lowest ELSE c.least END AS entry, CASE WHEN p.root < c.root THEN p.root ELSE c.root END AS root FROM c LEFT JOIN c p ON p.b = c.b - 1 WHERE c.b % 2 = 0 AND c.n > 1)
 """
 
 
-def _found(pattern: str, groups: str, name: str) -> str:
-    return f"""{name}0 AS (SELECT path, regexp_split_to_array(content, '{pattern}') AS gaps, regexp_extract_all(content, '{pattern}', 0) AS hits, {groups} FROM src),
-{name}1 AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM {name}0),
-{name} AS (SELECT *, array_to_string(gaps[1:i], '') || array_to_string(hits[1:i-1], '') AS pre FROM {name}1)"""
+@_query("cycle_members_rings", _RINGS + "SELECT path FROM s JOIN ring USING (b)")
+def _(spark, sf_dir):
+    return traverse.cycle_members(adapters.ring_graph(spark, sf_dir))
+
+
+@_query("cycles_rings", _RINGS + "SELECT row_number() OVER (ORDER BY root) - 1 AS cycle, string_agg(path, ' -> ' ORDER BY (k - entry + n) % n) AS files, CAST(n AS BIGINT) AS length FROM s JOIN ring USING (b) GROUP BY b, n, root")
+def _(spark, sf_dir):
+    return traverse.cycles(adapters.ring_graph(spark, sf_dir))
 
 
-_LINE = "CAST(1 + length(pre) - length(replace(pre, chr(10), '')) AS BIGINT)"
-_FN = r"(?m)^\s*(pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:const\s+)?fn\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\("
-_ST = r"(?m)^\s*(pub(?:\([^)]*\))?\s+)?struct\s+([A-Za-z_][A-Za-z0-9_]*)"
-_EN = r"(?m)^\s*(pub(?:\([^)]*\))?\s+)?enum\s+([A-Za-z_][A-Za-z0-9_]*)"
-_US = r"(?m)^\s*(?:pub\s+)?use\s+([^;{]+?)(?:\s+as\s+([A-Za-z_][A-Za-z0-9_]*))?\s*;\s*$"
-_VISIBLE = "CASE WHEN trim(vis[i]) = '' THEN 'Private' WHEN trim(vis[i]) = 'pub' THEN 'Public' WHEN trim(vis[i]) = 'pub(crate)' THEN 'PubCrate' WHEN trim(vis[i]) = 'pub(super)' THEN 'PubSuper' WHEN trim(vis[i]) LIKE 'pub(%)' THEN 'PubIn' ELSE 'Private' END"
+@_query("shortest_path_rings", _RINGS + "SELECT CAST(k - 6 AS BIGINT) AS step, path FROM s WHERE k BETWEEN 6 AND 17 AND (SELECT max(k) FROM s) >= 17")
+def _(spark, sf_dir):
+    return traverse.shortest_path(adapters.ring_graph(spark, sf_dir), "src/b1/s6.rs", "src/b2/s17.rs")
 
 
-def _items_sql(pattern: str, kind: str) -> str:
-    groups = f"regexp_extract_all(content, '{pattern}', 1) AS vis, regexp_extract_all(content, '{pattern}', 2) AS names"
-    return _SOURCES + ", " + _found(pattern, groups, "m") + f" SELECT path, '{kind}' || ':' || names[i] || ':' || {_LINE} AS item_id, names[i] AS name, {_VISIBLE} AS visibility, {_LINE} AS line_start FROM m"
+# ---- generated sources in SQL -----------------------------------------------------------------------------------------
+
+# Closed forms: what each generated file holds, written down from how it is generated, without any pattern.
+_SOURCES = r"""
+WITH s0 AS (SELECT s_suppkey AS k, s_nationkey AS n, lag(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS j FROM supplier),
+s AS (SELECT k, n, j, 'src/m' || n || '/s' || k || '.rs' AS path, CASE WHEN j IS NULL THEN 0 ELSE 1 END AS has FROM s0),
+m AS (SELECT n_nationkey AS n, 'src/m' || n_nationkey || '/mod.rs' AS path FROM nation),
+src AS (SELECT path FROM s UNION ALL SELECT path FROM m UNION ALL SELECT 'src/lib.rs'),
+items AS (
+  SELECT path, 0 AS ordinal, 'file:' || path AS item_id, 'Module' AS kind, regexp_extract(path, '([^/]+)\.rs$', 1) AS name, 'PubCrate' AS visibility, CAST(NULL AS VARCHAR) AS vis_scope, 1 AS line FROM src
+  UNION ALL SELECT path, 1, 'fn:f' || k || ':' || (3 + has), 'Function', 'f' || k, 'Public', NULL, 3 + has FROM s
+  UNION ALL SELECT path, 2, 'fn:run' || k || ':' || (10 + has), 'Function', 'run' || k, 'PubIn', 'in crate::m' || n, 10 + has FROM s
+  UNION ALL SELECT path, 3, 'struct:S' || k || ':' || (6 + has), 'Struct', 'S' || k, 'Private', NULL, 6 + has FROM s
+  UNION ALL SELECT path, 4, 'enum:E' || k || ':' || (8 + has), 'Enum', 'E' || k, 'PubCrate', NULL, 8 + has FROM s
+  UNION ALL SELECT path, 1, 'fn:top' || n || ':1', 'Function', 'top' || n, 'Public', NULL, 1 FROM m),
+imports AS (
+  SELECT path, 0 AS ordinal, 'crate::m' || n || '::s' || j || '::f' || j AS import_path, CAST(NULL AS VARCHAR) AS alias FROM s WHERE j IS NOT NULL
+  UNION ALL SELECT path, has, 'crate::m' || n || '::top' || n, 'up' || k FROM s)
+"""
 
 
 def _sources(name: str, sql: str | None):
@@ -239,38 +290,52 @@ def _sources(name: str, sql: str | None):
     return add
 
 
-for _name, _kind, _pattern in (("extract_functions", "Function", _FN), ("extract_structs", "Struct", _ST), ("extract_enums", "Enum", _EN)):
-    _sources(_name, _items_sql(_pattern, extract.PREFIX[_kind]))(lambda files, k=_kind: extract.items_of(files, k).select("path", "item_id", "name", "visibility", "line_start"))
+for _name, _kind in (("extract_functions", "Function"), ("extract_structs", "Struct"), ("extract_enums", "Enum")):
+    _sources(_name, _SOURCES + f"SELECT path, item_id, name, visibility, CAST(line AS BIGINT) AS line_start FROM items WHERE kind = '{_kind}'")(lambda files, k=_kind: extract.items_of(files, k).select("path", "item_id", "name", "visibility", "line_start"))
 
-_USE = _found(_US, f"regexp_extract_all(content, '{_US}', 1) AS uses, regexp_extract_all(content, '{_US}', 2) AS aliases", "u")
 
-
-@_sources("extract_imports", _SOURCES + ", " + _USE + " SELECT path, CAST(i - 1 AS INTEGER) AS ordinal, trim(uses[i]) AS import_path, nullif(aliases[i], '') AS alias FROM u")
+@_sources("extract_imports", _SOURCES + "SELECT path, CAST(ordinal AS INTEGER) AS ordinal, import_path, alias FROM imports")
 def _(files):
     return extract.imports(files)
 
 
-@_sources("file_items", _SOURCES + " SELECT path, 0 AS ordinal, 'file:' || path AS item_id, regexp_extract(path, '([^/]+)\\.rs$', 1) AS name FROM src")
+@_sources("file_items", _SOURCES + "SELECT path, ordinal, item_id, name FROM items WHERE ordinal = 0")
 def _(files):
     return extract.file_items(files).select("path", "ordinal", "item_id", "name")
 
 
-@_sources("file_metrics", _SOURCES + f" SELECT path, CAST(1 + len(regexp_extract_all(content, '{_FN}')) + len(regexp_extract_all(content, '{_ST}')) + len(regexp_extract_all(content, '{_EN}')) AS BIGINT) AS item_count, CAST(len(regexp_extract_all(content, '{_US}')) AS BIGINT) AS import_count FROM src")
+_METRICS = "SELECT path, (SELECT count(*) FROM items i WHERE i.path = src.path) AS item_count, (SELECT count(*) FROM imports i WHERE i.path = src.path) AS import_count FROM src"
+
+
+@_sources("file_metrics", _SOURCES + _METRICS)
 def _(files):
     return extract.metrics(extract.items(files), extract.imports(files))
 
 
+@_sources("build_incremental", _SOURCES + f", c AS ({_METRICS}), t AS (SELECT path, CASE WHEN k % 5 = 0 THEN 'new' WHEN k % 5 = 1 THEN 'changed' ELSE 'same' END AS state FROM s) SELECT c.path, coalesce(state, 'same') AS state, item_count, import_count FROM c LEFT JOIN t USING (path)")
+def _(files):
+    """A scan after another: a fifth of the suppliers' files are new, a fifth had another content, and one file is gone."""
+    k = F.regexp_extract("path", r"/s([0-9]+)\.rs$", 1).try_cast("int") % 5
+    files = checkpointed(files)
+    gone = files.filter("path = 'src/lib.rs'").withColumn("path", F.lit("src/gone.rs"))
+    old = files.filter(F.coalesce(k, F.lit(2)) != 0).withColumns({"content": F.when(k == 1, "fn other() {}").otherwise(F.col("content")), "len": F.when(k == 1, 13).otherwise(F.col("len"))})
+    before = cache.Parsed(*parsed(old.unionByName(gone)))
+    todo = cache.to_parse(before.files, files).select(files.columns)
+    found = refreshed(before, files, todo)
+    return extract.metrics(found.items, found.imports).join(cache.diff(before.files, files), "path").select("path", "state", "item_count", "import_count")
+
+
 @_sources("module_segments", _SOURCES + " SELECT path, CASE WHEN path = 'src/lib.rs' THEN '' ELSE regexp_replace(regexp_replace(substr(path, 5), '(/mod)?\\.rs$', ''), '/', '::', 'g') END AS module FROM src")
 def _(files):
     return files.select("path", F.array_join(paths.module_segments("path"), "::").alias("module"))
 
 
-@_sources("import_segments", _SOURCES + ", " + _USE + " SELECT path, CAST(i - 1 AS INTEGER) AS ordinal, array_to_string(list_filter(string_split(trim(uses[i]), '::'), lambda x: x <> ''), '/') AS segments FROM u")
+@_sources("import_segments", _SOURCES + "SELECT path, CAST(ordinal AS INTEGER) AS ordinal, replace(import_path, '::', '/') AS segments FROM imports")
 def _(files):
     return extract.imports(files).select("path", "ordinal", F.array_join(paths.import_segments("import_path"), "/").alias("segments"))
 
 
-@_sources("items_in_order", None)
+@_sources("items_in_order", _SOURCES + "SELECT path, ordinal, item_id, kind, name, visibility, vis_scope, CAST(line AS BIGINT) AS line_start FROM items")
 def _(files):
     return extract.items(files).select("path", "ordinal", "item_id", "kind", "name", "visibility", "vis_scope", "line_start")
 
@@ -283,10 +348,10 @@ def _edges(name: str, f, sql: str | None = None):
     _sources(name, sql)(run)
 
 
-_PREVIOUS = _SOURCES + """, fs AS (SELECT k, n, j, 'file:src/m' || n || '/s' || k || '.rs' AS f, CASE WHEN j IS NULL THEN 0 ELSE 1 END AS has FROM s0),
-fn AS (SELECT 'fn:f' || k || ':' || (CASE WHEN j IS NULL THEN 3 ELSE 4 END) AS id, 'fn:run' || k || ':' || (CASE WHEN j IS NULL THEN 8 ELSE 9 END) AS run, k FROM s0)
+_PREVIOUS = _SOURCES + """, fs AS (SELECT k, n, j, 'file:' || path AS f FROM s), fn AS (SELECT k, 'fn:f' || k || ':' || (3 + has) AS id FROM s)
 """
-_edges("resolve_imports", lambda files, items, imports: resolve.Resolver(items, imports).resolve(imports.select("path", F.col("import_path").alias("raw")).distinct()).select("from_path", "raw", "to_item", "is_module"))
+_edges("resolve_imports", lambda files, items, imports: resolve.Resolver(items, imports).resolve(imports.select("path", F.col("import_path").alias("raw")).distinct()).select("from_path", "raw", "to_item", "is_module"),
+       _PREVIOUS + "SELECT substr(f, 6) AS from_path, 'crate::m' || n || '::s' || j || '::f' || j AS raw, fn.id AS to_item, false AS is_module FROM fs JOIN fn ON fn.k = j UNION ALL SELECT substr(f, 6), 'crate::m' || n || '::top' || n, 'fn:top' || n || ':1', false FROM fs")
 _edges("rel_import_uses", lambda files, items, imports: relate.import_uses(items, imports).select("from_item", "to_item", "rel_type", "rel_detail", "strength", "context"),
        _PREVIOUS + "SELECT f AS from_item, fn.id AS to_item, 'Uses' AS rel_type, 'import-item' AS rel_detail, CAST(1 AS DOUBLE) AS strength, 'crate::m' || n || '::s' || j || '::f' || j AS context FROM fs JOIN fn ON fn.k = j UNION ALL SELECT f, 'fn:top' || n || ':1', 'Uses', 'import-item', 1.0, 'crate::m' || n || '::top' || n FROM fs")
 _edges("rel_path_calls", lambda files, items, imports: relate.path_calls(files, items, imports).select("path", "to_item", "context").distinct(),
@@ -297,7 +362,13 @@ _edges("rel_calls_dedup", lambda files, items, imports: relate.calls(files, item
        _PREVIOUS + "SELECT f AS from_item, fn.id AS to_item, 'path' AS rel_detail, CAST(0.7 AS DOUBLE) AS strength, 'crate::m' || n || '::s' || j || '::f' || j AS context FROM fs JOIN fn ON fn.k = j UNION ALL SELECT f, 'fn:top' || n || ':1', CASE WHEN j IS NULL THEN 'path' ELSE 'heuristic' END, CASE WHEN j IS NULL THEN 0.7 ELSE 0.5 END, CASE WHEN j IS NULL THEN 'super::top' || n ELSE 'top' || n END FROM fs")
 
 
-@_sources("build_hubs", None)
+_BUILT = """SELECT 'src/lib.rs' AS src, path AS dst FROM m
+UNION ALL SELECT m.path, s.path FROM s JOIN m USING (n)
+UNION ALL SELECT path, 'src/m' || n || '/s' || j || '.rs' FROM s, (VALUES ('Uses'), ('Calls')) WHERE j IS NOT NULL
+UNION ALL SELECT path, 'src/m' || n || '/mod.rs' FROM s, (VALUES ('Uses'), ('Calls'))"""
+
+
+@_sources("build_hubs", _SOURCES + _degree_sql(_BUILT, "SELECT path AS key FROM src", "path", "total", 10))
 def _(files):
     return queries.hubs(build(files))
 
@@ -310,16 +381,15 @@ def _(spark, sf_dir):
     return p.select("p_partkey", extract.visibility(t).alias("visibility"), extract.visibility_scope(t).alias("scope"))
 
 
-@_query("dot_nodes", _TRADE + "SELECT '  \"' || item_id || '\"' AS node FROM items WHERE kind = 'Module'")
+@_query("dot_nodes", _TRADE + """SELECT '  "' || item_id || '" [label="Module ' || name || '", fillcolor="#e3f2fd", shape="folder", URL="item://' || item_id || '", tooltip="' || path || ' 1"];' AS line FROM items WHERE kind = 'Module'""")
 def _(spark, sf_dir):
-    lines = dot.node_lines(adapters.trade_graph(spark, sf_dir).items.filter("kind = 'Module'"))
-    return lines.select(F.regexp_extract("line", r'^(  "[^"]*")', 1).alias("node"))
+    return dot.node_lines(adapters.trade_graph(spark, sf_dir).items.filter("kind = 'Module'")).select("line")
 
 
-@_query("dot_edges", _TRADE + "SELECT from_item, to_item, CASE rel_type WHEN 'Contains' THEN 'contains:' END || rel_detail AS label FROM rel WHERE rel_type = 'Contains'")
+@_query("dot_edges", _TRADE + """SELECT '  "' || from_item || '" -> "' || to_item || '" [label="' || CASE rel_type WHEN 'Contains' THEN 'contains:' ELSE 'calls:' END || rel_detail || '", color="' || CASE rel_type WHEN 'Contains' THEN '#9e9e9e", style="dotted", penwidth=1];' ELSE '#e53935", style="solid", penwidth=0.8];' END AS line FROM rel WHERE rel_type IN ('Contains', 'Calls')""")
 def _(spark, sf_dir):
     g = adapters.trade_graph(spark, sf_dir)
-    return dot.edge_lines(g.relationships.filter("rel_type = 'Contains'")).select("from_item", "to_item", "label")
+    return dot.edge_lines(g.relationships.filter("rel_type IN ('Contains', 'Calls')")).select("line")
 
 
 @_query("cache_diff", "SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN o_orderkey % 10 = 0 THEN 'new' WHEN o_orderkey % 10 = 1 THEN 'changed' WHEN o_orderkey % 10 = 2 THEN 'gone' ELSE 'same' END AS state FROM orders")

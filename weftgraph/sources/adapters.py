@@ -63,6 +63,25 @@ def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.unionByName(uses)
 
 
+def supplied_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses: each supplier, as a function, uses each part it supplies, once."""
+    line = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey") + 1, F.col("l_partkey") + 1).distinct().toDF("k", "p")
+    return line.select(*relate.edge(F.concat(F.lit("fn:supplier_"), "k", F.lit(":"), "k"), F.concat(F.lit("enum:part_"), "p", F.lit(":"), "p"), "Uses", F.lit("import-item"), 1.0, F.lit("")))
+
+
+def ring_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    """A file per supplier, in blocks of six, each calling the next; in blocks of even number the last calls the first, in
+    the others it calls the first of the next block. It grows with the suppliers."""
+    s = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.floor(F.col("s_suppkey") / 6).cast("int").alias("b"))
+    path = lambda k: F.format_string("file:src/b%d/s%d.rs", F.floor(k / 6).cast("int"), k.cast("int"))
+    top = s.groupBy("b").agg(F.min("k").alias("low"), F.max("k").alias("high"))
+    odd, last = F.col("b") % 2 == 1, F.col("k") == F.col("high")
+    to = s.join(top, "b").withColumn("to", F.when(last & ~odd, F.col("low")).otherwise(F.col("k") + 1))
+    edges = to.join(s.select(F.col("k").alias("to")), "to").filter("k <> to").select(*relate.edge(path(F.col("k")), path(F.col("to")), "Calls", F.lit("test"), 0.5, F.lit("")))
+    files = s.select(F.substring(path(F.col("k")), F.lit(6), F.lit(1000)).alias("path"), F.lit("").alias("content"), F.lit(0).cast("bigint").alias("mtime"), F.lit(0).cast("bigint").alias("len"))
+    return CodeGraph(files, extract.file_items(files), spark.createDataFrame([], "path string, ordinal int, import_path string, alias string"), edges)
+
+
 def sparse_trade_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     """Nations only; each calls the two foreign nations whose suppliers it buys from most."""
     nation = _nation_file(spark, sf_dir)
