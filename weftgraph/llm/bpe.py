@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_or_empty
+from .common import kept, pieces, text_or_empty
 
 #: Bounds of the tables, which start anew when full; longer words and pieces are not remembered.
 MAX_TRANSITIONS, MEMO_WORDS, MEMO_CHARS = 700_000, 800_000, 32
@@ -284,21 +284,20 @@ def decode(bytes_of: dict[int, bytes], ids: np.ndarray, portion: int = PORTION):
     yield machine.end()
 
 
-_encoders: dict = {}
-
-
 def _encoder(path: str, pattern: str) -> tuple[TextEncoder, Decimals]:
     """One for all tasks of a worker: a task has its own copy of what its function names, but for functions of a module."""
-    if (path, pattern) not in _encoders:
+
+    def make():
         ranks = load_ranks(path)
-        _encoders[path, pattern] = TextEncoder(ranks, pattern), Decimals(ranks)
-    return _encoders[path, pattern]
+        return TextEncoder(ranks, pattern), Decimals(ranks)
+
+    return kept("bpe", (path, pattern), make)
 
 
 def _encoded(path: str, pattern: str):
     def run(batches):
         enc, decimals = _encoder(path, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             counts, hashes, decoded = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = np.frombuffer(enc.encode(text), "<u4")
@@ -317,5 +316,4 @@ def _encoded(path: str, pattern: str):
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row's ids and of the text decoded from them."""
-    prepare(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(_encoded(ranks_path, pattern), SCHEMA)

@@ -1,8 +1,8 @@
-"""What the operators share: the folder that all executors see, written tables, and files by URI.
+"""What the operators share: the folder that all executors see, written tables, files by URI, and bounds of memory.
 
-Executors may be lost at any time, so nothing here depends on one executor's disk: intermediate
-tables and output files go below ``spark.checkpoint.dir`` (a temporary folder is set up only where
-that setting is absent, as in tests).
+Executors may be lost at any time, so nothing here depends on one executor's disk: intermediate tables and output files
+go below ``spark.checkpoint.dir``. Where that setting is absent, a temporary folder is set up in local mode, as in tests;
+on a cluster that is an error, as executors would each write to a disk of their own.
 """
 
 from __future__ import annotations
@@ -10,19 +10,39 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch sent to Python. Documents can be long; small batches bound a worker's memory.
-ARROW_ROWS = 1000
+#: Rows and bytes of the pieces in which Python goes through an Arrow batch. Spark bounds a batch by rows and bytes
+#: (spark.sql.execution.arrow.*); the lists of Python objects made of one would be several times as large.
+PIECE_ROWS, PIECE_BYTES = 1000, 4 << 20
 
-_SPACE = r"[\x20\x09-\x0D]+"
+
+def pieces(batches, rows: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator:
+    """The rows of Arrow batches, in slices of at most that many rows and about that many bytes (one row at least)."""
+    for b in batches:
+        step = max(1, min(rows, int(size * b.num_rows / max(1, b.nbytes))))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
+_kept: dict = {}
+
+
+def kept(owner: str, key: object = None, make: Callable = lambda: None):
+    """What an operator keeps in a Python worker between tasks (a memo, a model): make() on first use. A worker keeps one
+    operator's things only; those of the operator before it are dropped, as workers outlive the stages of a pipeline."""
+    if (owner, key) not in _kept:
+        _kept.clear()
+        _kept[owner, key] = make()
+    return _kept[owner, key]
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches; they are sized by rows alone, and a row can be a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bounds the Arrow batches of operators that do not go through them in pieces yet."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PIECE_ROWS))
     return spark
 
 
@@ -30,6 +50,8 @@ def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where it is unset, a folder of our own that is then set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -38,7 +60,7 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when the application ends."""
+    """A new path in the shared folder; it is deleted when the application ends, if not before."""
     path = f"{shared_root(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
     return path
@@ -54,11 +76,34 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+class Scratch:
+    """Tables in the shared folder that are deleted when the ``with`` block ends, but for those written to be kept."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __call__(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        path = shared_path(self.spark, name)
+        if not keep:
+            self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            _delete(self.spark, path)
+        self.paths = []
+
+    def __exit__(self, *error) -> None:
+        self.drop()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df from a table in the shared folder: cuts the lineage and fixes what df computed."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession)(df, name, keep=True)
 
 
 def file_system(uri: str):
@@ -113,3 +158,14 @@ def lookup(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
     rest = tried.filter(F.col("__hot").isNull()).join(cold, key, "left")
     both = done.unionByName(rest)
     return both.select(*left.columns, *[F.col(f"__cold.{c}").alias(c) for c in names])
+
+
+def matched(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """The inner join that goes with lookup(): rows of left whose key is in right, with right's columns. The hot keys, fewer
+    than HOT_SHARE, are collected to tell their rows apart."""
+    hot = right.filter(F.col("copies") * HOT_SHARE > rows)
+    keys = [r[0] for r in hot.select(key).collect()]
+    if not keys:
+        return left.join(right, key)
+    is_hot = F.col(key).isin(keys)
+    return left.filter(is_hot).join(F.broadcast(hot), key).unionByName(left.filter(~is_hot).join(right.filter(~is_hot), key))

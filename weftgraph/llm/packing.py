@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_or_empty
+from .common import pieces, text_or_empty
 from .tokens import encoder
 
 TIERS = (512, 1024, 2048, 4096)
@@ -150,7 +150,7 @@ def _packed(tokenizer: str, end_id: int, tiers: tuple, block_tokens: int, step_t
                 waiting.append(w)
                 held += sum(p[3] - p[2] for p in w)
 
-        for b in batches:
+        for b in pieces(batches):
             for doc, data in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
                 keep(packer.add(doc, np.append(np.frombuffer(data, "<u4"), np.array([end_id], "<u4"))))
                 if packer.full():
@@ -169,6 +169,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple = TIERS,
     length, a power of two), step_group."""
     if any(t & (t - 1) for t in tiers):
         raise ValueError("tiers are powers of two")
-    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(_packed(tokenizer, end_id, tuple(tiers), block_tokens, step_tokens), SCHEMA)

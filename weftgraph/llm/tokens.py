@@ -13,17 +13,17 @@ import os
 
 import numpy as np
 
-#: Words in the memo; it starts anew at the batch after it has got fuller than this.
-MEMO_WORDS = 1_500_000
+from .common import kept
+
+#: Words in the memo's newer half. When it is full it becomes the older half, which gives back the words that are asked
+#: for again; the others go. A word takes about 200 bytes.
+MEMO_WORDS = 400_000
 _JOIN = 512
-_cache: dict = {}
 
 
 def encoder(path: str) -> "WordEncoder":
     """This process's encoder for a tokenizer file."""
-    if path not in _cache:
-        _cache[path] = WordEncoder(path)
-    return _cache[path]
+    return kept("tokens", path, lambda: WordEncoder(path))
 
 
 class WordEncoder:
@@ -33,7 +33,7 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.memo_words, self.memo = memo_words, {}
+        self.memo_words, self.memo, self.older = memo_words, {}, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.kind = self._kind(spec)
@@ -106,7 +106,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         if len(self.memo) > self.memo_words:
-            self.memo.clear()
+            self.older, self.memo = self.memo, {}
         get, split, holes, missing = self.memo.get, [], [], set()
         for t in texts:
             words = self._words(t)
@@ -117,7 +117,9 @@ class WordEncoder:
                 missing.update([w for _, w in hole])
             split.append(ids)
             holes.append(hole)
-        self._learn(missing)
+        for w in missing & self.older.keys():
+            self.memo[w] = self.older[w]
+        self._learn(missing - self.older.keys())
         out, known = [], self.memo
         for t, ids, hole in zip(texts, split, holes, strict=True):
             if ids is None:
