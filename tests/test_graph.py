@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.model import ITEMS, RELATIONSHIPS, CodeGraph
+from weftgraph.errors import QueryError
 from weftgraph.operators import extract, queries, relate, traverse
+from weftgraph.operators.catalog import Ask
 from weftgraph.plans.build import build
 
 
@@ -176,9 +178,19 @@ def test_call_heuristics(spark):
     assert {r["context"] for r in relate.path_calls(files, items, imports).collect()} == {"a::b::baz"}
 
 
+def test_questions_by_name(spark):
+    g = graph(spark, CHAIN, [("fn:fa:1", "fn:fb:2")])
+    assert values(Ask("connected-files", {"file": "src/a.rs"}).run(g), "path") == ["src/b.rs"]
+    assert values(Ask("hubs", {"metric": "in", "top": 1}).run(g), "path") == ["src/b.rs"]
+    with pytest.raises(QueryError):
+        Ask("nothing").run(g)
+
+
 def test_hierarchy(spark):
     files = sources(spark, {p: "" for p in ("src/lib.rs", "src/a/mod.rs", "src/a/foo.rs")})
     got = dict(values(relate.module_parents(files), "path", "parent"))
     assert got == {"src/a/mod.rs": "src/lib.rs", "src/a/foo.rs": "src/a/mod.rs"}
+    g = CodeGraph(files, None, None, None)
+    assert values(queries.module_parent(g, "src/a/foo.rs"), "path") == ["src/a/mod.rs"] and values(queries.module_children(g, "src/lib.rs"), "path") == ["src/a/mod.rs"]
     bare = sources(spark, {p: "" for p in ("src/lib.rs", "lib.rs", "z.rs")})  # a folder's lib.rs looks one folder up
     assert dict(values(relate.module_parents(bare), "path", "parent")) == {"src/lib.rs": "lib.rs", "z.rs": "lib.rs"}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..model import CodeGraph
+from .relate import module_parents
 
 
 def page(df: DataFrame, order: list, offset: int = 0, limit: int | None = None) -> DataFrame:
@@ -64,6 +65,16 @@ def module_centrality(graph: CodeGraph, metric: str = "total", top: int | None =
     return _ranked(degrees(edges, graph.items.select(paths.dirname("path").alias("module")).distinct(), "module"), "module", metric, top)
 
 
+def module_parent(graph: CodeGraph, file: str) -> DataFrame:
+    """The file whose module holds that of the file: path, one row or none."""
+    return module_parents(graph.files).filter(F.col("path") == file).select(F.col("parent").alias("path"))
+
+
+def module_children(graph: CodeGraph, file: str) -> DataFrame:
+    """The files whose modules that of the file holds."""
+    return module_parents(graph.files).filter(F.col("parent") == file).select("path").orderBy(paths.parts("path"))
+
+
 def trait_impls(graph: CodeGraph, trait: str) -> DataFrame:
     found = graph.items.filter((F.col("kind") == "Impl") & (F.col("attrs.trait_name") == trait))
     return found.select("path", F.col("attrs.type_name").alias("type")).orderBy(paths.parts("path"), "type")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import extract, queries, relate, resolve, traverse
+from ..operators.catalog import Ask
 from ..render import dot
 from ..sources import adapters, cache
 from ..sources.shared import checkpointed
@@ -116,6 +117,10 @@ def _(g):
     return relate.module_contains(g.files).select("from_item", "to_item", "rel_type", "rel_detail")
 
 
+_trade("module_parent", f"SELECT up AS path FROM parent WHERE path = '{_ONE}'")(lambda g: queries.module_parent(g, _ONE))
+_trade("module_children", "SELECT path FROM parent WHERE up = 'src/lib.rs'")(lambda g: Ask("module-children", {"file": "src/lib.rs"}).run(g))
+
+
 _KINDS = "CASE visibility WHEN 'Public' THEN 'public' WHEN 'PubCrate' THEN 'pub(crate)' ELSE 'private' END"
 _UNUSED = f"SELECT path, item_id AS id, name, kind, {_KINDS} AS visibility FROM items WHERE ordinal > 0 AND item_id NOT IN (SELECT to_item FROM rel WHERE rel_type IN ('Uses', 'Calls'))"
 
