@@ -84,6 +84,37 @@ def test_hub_with_spokes(spark, monkeypatch, block):
     assert len({r[2] for r in want}) == 1 and got == want
 
 
+@pytest.mark.parametrize(("count", "pairs", "few"), [(200, 400, 500_000), (400, 800, 10)])
+def test_mixed_buckets_lose_no_link(spark, monkeypatch, count, pairs, few):
+    """Copies of one text with two words replaced each, of so many (position, word) pairs: some are alike, most are not,
+    nearly all meet in the same buckets. Also by way of the shuffled texts."""
+    monkeypatch.setattr(nd, "BROADCAST_NODES", few)
+    rng = random.Random(1)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(100)]
+    changes = [(p, f"c{i}") for i in range(pairs // 19 + 1) for p in range(4, 95, 5)][:pairs]
+    texts = []
+    for _ in range(count):
+        x = base[:]
+        for p, w in rng.sample(changes, 2):
+            x[p] = w
+        texts.append(" ".join(x))
+    got = sorted(map(tuple, nd.near_groups(fixtures.docs(spark, texts).repartition(5), words=4).collect()))
+    want = brute(list(enumerate(texts)), 4)
+    assert got == want and len({r[2] for r in want}) > 3
+
+
+def test_nothing_is_left_behind(spark):
+    """All tables but the result's are deleted."""
+    from pathlib import Path
+
+    from weftgraph.llm.common import shared_root
+
+    folder = Path(shared_root(spark).removeprefix("file:")) / "weftgraph"
+    before = set(folder.glob("*")) if folder.exists() else set()
+    nd.near_groups(fixtures.docs(spark, ["a b c d e", "a b c d e", "x"])).collect()
+    assert [p.name.split("-")[0] for p in set(folder.glob("*")) - before] == ["near"]
+
+
 def test_odd_rows(spark):
     got = nd.near_groups(fixtures.odd(spark)).collect()
     assert len(got) == len(fixtures.odd_rows())

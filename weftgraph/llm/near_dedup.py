@@ -14,8 +14,11 @@
    that shares several such buckets is tried in the smallest. No pair, member or bucket is left out.
 5. Edges are confirmed on the full sets: 100 * intersection >= threshold * union. Links are joined to components.
 
-The texts of classes with a shared bucket are shuffled once, to make their sets; sets of other texts are never stored.
-A set is looked up per edge by sort-merge joins whose hot keys (a centre of many edges) adaptive execution splits.
+Sets are made and stored for classes with a shared bucket only. Where these are few (BROADCAST_NODES, by count) their ids
+are broadcast and no text is shuffled; else the texts are shuffled once. What belongs to a bucket is looked up by
+``common.matched``, so the members of a bucket that holds many of them stay where they are. A set is looked up per edge by
+sort-merge joins whose hot keys (a centre of many edges) adaptive execution splits. The result is a table of small rows;
+all others are deleted when it is written.
 
 Edge cases. Null text or text without words: an empty set, linked with nothing, each row its own component. With fewer
 words than a shingle has, the whole sequence is the one shingle. A row with a null id takes part; where a component has
@@ -34,12 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import lookup, prepare, text_or_empty, written
+from .common import Scratch, kept, lookup, matched, pieces, text_or_empty
 from .components import components, relabel
 
 BANDS, ROWS, WORDS, PERCENT = 40, 6, 5, 80
 NO_ID = 1 << 62
 BLOCK, BLOCK_SHINGLES = 256, 1 << 19
+#: Up to so many classes with a shared bucket, their ids (some 50 bytes each) are broadcast and no text is shuffled.
+BROADCAST_NODES = 500_000
 _P, _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 _S30, _S27, _S31, _S32 = (np.uint64(x) for x in (30, 27, 31, 32))
 
@@ -108,8 +113,9 @@ def digest(hashes: np.ndarray) -> bytes:
 
 def _signed(words: int, bands: int, rows: int):
     def run(batches):
+        kept("near_dedup")
         signer = Signer(bands, rows)
-        for b in batches:
+        for b in pieces(batches):
             sizes, digests, keys = [], [], []
             for text in b.column(2).to_pylist():
                 s = shingles(text, words)
@@ -127,7 +133,7 @@ def _sets(words: int):
     """For mapInArrow: (node, digest, text) to (node, size, set). Of rows of one id, only those of the class's text count."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             nodes, sets = [], []
             for node, want, text in zip(*(c.to_pylist() for c in b.columns)):
                 s = shingles(text, words)
@@ -141,7 +147,7 @@ def _sets(words: int):
 
 def _confirmed(percent: int):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
@@ -194,10 +200,16 @@ def _linked(percent: int):
     return run
 
 
-def _blocks(apart: DataFrame, sets: DataFrame) -> DataFrame:
+def _blocks(apart: DataFrame, sets: DataFrame, table: Scratch) -> DataFrame | None:
     """Members (bucket, node, comp) of mixed buckets of more than three, once per pair of blocks that they are in: bucket,
-    low, high, block, node, comp, seen, shingles. The largest component's blocks are not paired with one another."""
-    sized = apart.select("bucket", "node", "comp").distinct().join(sets.select("node", "size"), "node")
+    low, high, block, node, comp, seen, shingles; None if there are none. The largest component's blocks are not paired
+    with one another."""
+    mixed = apart.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("copies")).filter("least < most AND copies > 3")
+    mixed = table(mixed.select("bucket", "copies"), "mixed")
+    if not mixed.limit(1).count():
+        return None
+    held = matched(apart.select("bucket", "node", "comp"), mixed, "bucket", apart.count()).drop("copies").distinct()
+    sized = table(held.join(sets.select("node", "size"), "node"), "sized")
     parts = sized.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
     whole = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "comp")).alias("top"))
     whole = whole.filter((F.col("n") > 3) & (F.col("top.n") < F.col("n")))
@@ -206,8 +218,8 @@ def _blocks(apart: DataFrame, sets: DataFrame) -> DataFrame:
         return F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
 
     n, s, top = F.col("n"), F.col("s"), F.col("top")
-    shape = whole.select("bucket", top["comp"].alias("main"), count(n - top["n"], s - top["s"]).alias("others"), count(top["n"], top["s"]).alias("mains"))
-    hard = written(sized.join(shape, "bucket"), "hard")
+    shape = whole.select("bucket", n.alias("copies"), top["comp"].alias("main"), count(n - top["n"], s - top["s"]).alias("others"), count(top["n"], top["s"]).alias("mains"))
+    hard = table(matched(sized, table(shape, "shape"), "bucket", sized.count()), "hard")
     is_main, others, mains = F.col("comp") == F.col("main"), F.col("others"), F.col("mains")
     dealt = F.pmod(F.xxhash64("node", F.lit(7)), F.when(is_main, mains).otherwise(others)).cast("int")
     placed = hard.select("bucket", "node", "comp", F.when(is_main, others).otherwise(0).alias("base"), dealt.alias("dealt"), F.when(is_main, others).otherwise(others + mains).alias("partners"))
@@ -219,48 +231,56 @@ def _blocks(apart: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-    prepare(docs.sparkSession)
     text = text_or_empty(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     base = base.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))).alias("id"), "text")
-    signed = written(base.mapInArrow(_signed(words, bands, rows), "doc_id long, id long, n_shingles long, digest binary, bands array<long>"), "signed")
+    with Scratch(docs.sparkSession) as table:
+        return _near_groups(base, words, percent, bands, rows, table)
+
+
+def _near_groups(base: DataFrame, words: int, percent: int, bands: int, rows: int, table: Scratch) -> DataFrame:
+    signed = table(base.mapInArrow(_signed(words, bands, rows), "doc_id long, id long, n_shingles long, digest binary, bands array<long>"), "signed")
     found = signed.filter("n_shingles > 0")
-    classes = written(found.groupBy("digest").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = table(found.groupBy("digest").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
 
     # Buckets of more than one class, with their members and smallest member. Rows repeating an id and a text are one node.
-    nodes = found.select("digest", F.col("id").alias("node"), "bands").join(classes.select("digest", "node"), ["digest", "node"])
+    nodes = table(found.select("digest", F.col("id").alias("node"), "bands").join(classes.select("digest", "node"), ["digest", "node"]).select("node", "bands"), "nodes")
     held = nodes.select(F.explode("bands").alias("bucket"), "node")
-    shared = held.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last")
-    members = written(held.join(shared.select("bucket", "centre"), "bucket"), "members")
+    shared = held.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count(F.lit(1)).alias("copies")).filter("centre < last")
+    shared = table(shared.select("bucket", "centre", "copies"), "shared")
+    members = table(matched(held, shared, "bucket", nodes.count() * bands).select("bucket", "node", "centre"), "members")
 
-    wanted = members.select("node").distinct().join(classes.select("node", "digest"), "node")
-    texts = base.select(F.col("id").alias("node"), "text").join(wanted, "node").select("node", "digest", "text")
-    sets = written(texts.mapInArrow(_sets(words), "node long, size long, shingles binary"), "sets")
+    wanted = table(members.select("node").distinct().join(classes.select("node", "digest"), "node"), "wanted")
+    few = wanted.count() <= BROADCAST_NODES
+    texts = base.select(F.col("id").alias("node"), "text").join(F.broadcast(wanted) if few else wanted, "node").select("node", "digest", "text")
+    sets = table(texts.mapInArrow(_sets(words), "node long, size long, shingles binary"), "sets")
 
     def confirmed(edges: DataFrame) -> DataFrame:
         one = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         two = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-        return written(two.mapInArrow(_confirmed(percent), "a long, b long"), "confirmed")
-
-    first = members.filter("centre < node").groupBy(F.col("node").alias("a")).agg(F.min("centre").alias("b"))
-    labels = components(confirmed(first))
-    tried = written(first, "tried")
-    for turn in range(2):
-        apart = written(relabel(members.select("bucket", "node", "centre", F.col("node").alias("comp")), labels, ["comp"]), "apart")
-        mixed = apart.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), (F.max("node") if turn else F.min("node")).alias("new")).filter("low < high")
-        again = apart.join(mixed.select("bucket", "new"), "bucket")
-        pairs = relabel(again.select("node", "comp", "new", F.col("new").alias("other")), labels, ["other"]).filter("comp <> other")
+        return table(two.mapInArrow(_confirmed(percent), "a long, b long"), "confirmed")
+
+    def by_component(labels: DataFrame) -> DataFrame:
+        return table(relabel(members.select("bucket", "node", F.col("node").alias("comp")), labels, ["comp"]), "apart")
+
+    tried = table(members.filter("centre < node").groupBy(F.col("node").alias("a")).agg(F.min("centre").alias("b")), "tried")
+    labels = components(confirmed(tried), table=table)
+    for new in (F.min("node"), F.max("node")):
+        apart = by_component(labels)
+        mixed = apart.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), new.alias("new"), F.count(F.lit(1)).alias("copies")).filter("low < high")
+        mixed = table(relabel(mixed.select("bucket", "new", F.col("new").alias("other"), "copies"), labels, ["other"]), "mixed")
+        pairs = matched(apart, mixed, "bucket", apart.count()).filter("comp <> other")
         edges = pairs.select(F.greatest("node", "new").alias("a"), F.least("node", "new").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        edges = written(edges, "edges")
+        edges = table(edges, "edges")
         if edges.limit(1).count():
-            labels = components(confirmed(edges), labels)
-            tried = written(tried.unionByName(edges), "tried")
+            labels = components(confirmed(edges), labels, table)
+            tried = table(tried.unionByName(edges), "tried")
 
-    apart = relabel(members.select("bucket", "node", F.col("node").alias("comp")), labels, ["comp"])
-    links = _blocks(apart, sets).groupBy("bucket", "low", "high").applyInArrow(_linked(percent), "a long, b long")
-    labels = components(written(links, "links"), labels)
+    if (blocks := _blocks(by_component(labels), sets, table)) is not None:
+        links = blocks.groupBy("bucket", "low", "high").applyInArrow(_linked(percent), "a long, b long")
+        labels = components(table(links, "links"), labels, table)
 
-    class_of = written(relabel(classes.select("digest", "copies", F.col("node").alias("comp")), labels, ["comp"]), "class-components")
+    class_of = table(relabel(classes.select("digest", "copies", F.col("node").alias("comp")), labels, ["comp"]), "class-components")
     all_rows = lookup(signed.select("doc_id", "n_shingles", "digest"), class_of, "digest", signed.count())
     own = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.when(F.col("comp") < NO_ID, F.col("comp")))
-    return all_rows.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return table(all_rows.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept")), "near-groups", keep=True)
