@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import blocks, folded, let
 from .common import text_or_empty
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -107,32 +108,6 @@ def _longest(kind: str, ahead: Column) -> Column:
     return F.try_element_at(F.filter(tries, lambda m: confirmed(kind, m)), F.lit(-1))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with the value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _blocks(items: Column) -> Column:
-    """The items in order, in about as many lists as each list has items."""
-    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items))).cast("int"))
-    return _let(size, lambda b: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(items)), b), lambda i: F.slice(items, i, b)))
-
-
-def folded(items: Column, state: Column, found: str, step) -> Column:
-    """What ``step`` appends to the field ``found`` (an array of that type) while it goes over the items; the other fields
-    of the struct ``state`` are carried along. Appending to an array copies it, so each block of items has a list of its
-    own: n items cost about n ** 1.5 copied references, not n ** 2."""
-    none = F.array().cast(found)
-
-    def block(a: Column, part: Column) -> Column:
-        return F.array_append(a, F.aggregate(part, F.element_at(a, -1).withField("found", none), step))
-
-    def whole(x: Column) -> Column:
-        return F.flatten(F.transform(F.aggregate(_blocks(x), F.array(state.withField("found", none)), block), lambda r: r["found"]))
-
-    return _let(items, whole)
-
-
 _MATCHES = "array<struct<start:int,match:string,near:string>>"
 
 
@@ -170,7 +145,7 @@ def proposals(text: Column, kind: str) -> Column:
         found = F.when(x["match"].isNull(), a["found"]).otherwise(F.array_append(a["found"], F.struct(start.alias("start"), x["match"].alias("match"), x["near"].alias("near"))))
         return F.struct((start + x["size"]).alias("at"), found.alias("found"))
 
-    found = folded(_let(F.split(text, pattern, -1), pieces), F.struct(F.lit(0).alias("at")), _MATCHES, step)
+    found = folded(let(F.split(text, pattern, -1), pieces), F.struct(F.lit(0).alias("at")), _MATCHES, step)
     wanted = F.contains(text, F.lit(need)) if kind == "email" else F.rlike(text, F.lit(need))
     return F.when(wanted, found).otherwise(F.array().cast(_MATCHES))
 
@@ -265,10 +240,10 @@ def _replaced(text: Column, stretches: Column) -> Column:
     def part(block: Column) -> Column:
         base = block[0]["a"]
         cut = lambda sub: F.array_join(F.transform(block, lambda c: F.concat(F.substring(sub, c["a"] - base + 1, c["start"] - c["a"]), F.lit("<"), F.upper(c["kind"]), F.lit(">"))), "")
-        return _let(F.substring(text, base + 1, F.element_at(block, -1)["end"] - base), cut)
+        return let(F.substring(text, base + 1, F.element_at(block, -1)["end"] - base), cut)
 
     rest = F.substring(text, F.element_at(stretches, -1)["end"] + 1, F.length(text))
-    return F.concat(F.array_join(F.transform(_blocks(stretches), part), ""), rest)
+    return F.concat(F.array_join(F.transform(blocks(stretches), part), ""), rest)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
