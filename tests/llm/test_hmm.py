@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from weftgraph.llm import hmm
 
@@ -80,6 +81,40 @@ def test_likelihood_and_counts_equal_the_sum_over_all_paths():
         assert np.allclose(a, b)
 
 
+def plain_counts(m, t):
+    """The recursions over one whole text, step by step."""
+    k, n = len(m.start), len(t)
+    a, b, scale = np.zeros((n, k)), np.ones((n, k)), np.zeros(n)
+    for i, x in enumerate(t):
+        a[i] = (m.start if i == 0 else a[i - 1] @ m.move) * m.emit[x]
+        scale[i] = a[i].sum()
+        a[i] /= scale[i]
+    moves, emits = np.zeros((k, k)), np.zeros_like(m.emit)
+    for i in range(n - 2, -1, -1):
+        up = m.emit[t[i + 1]] * b[i + 1] / scale[i + 1]
+        b[i] = m.move @ up
+        moves += m.move * np.outer(a[i], up)
+    np.add.at(emits, t, a * b)
+    return a[0] * b[0], moves, emits
+
+
+@pytest.mark.parametrize(("stretch", "chunk"), [(512, 512), (16, 512), (7, 5), (1, 3)])
+def test_counts_of_whole_texts(monkeypatch, stretch, chunk):
+    """Texts of up to 1,000 tokens, cut into stretches and parts: the counts are those of one run over each text. Two
+    states of the last model are never left, so nothing is ever forgotten."""
+    monkeypatch.setattr(hmm, "STRETCH", stretch)
+    monkeypatch.setattr(hmm, "CHUNK", chunk)
+    rng = np.random.default_rng(9)
+    slow = model(3, 6, seed=4)
+    slow.move = np.eye(3) * 0.97 + 0.01
+    stuck = model(2, 6, seed=5)
+    stuck.move, stuck.emit = np.eye(2), np.full((6, 2), 1 / 6)
+    for m in (model(4, 6, seed=3), slow, stuck):
+        texts = [rng.integers(0, 6, n) for n in (1000, 1, 2, 333, 57, 6, 16, 600)]
+        for got, want in zip(m.expected(texts), map(sum, zip(*[plain_counts(m, t) for t in texts]))):
+            assert np.allclose(got, want, rtol=1e-6, atol=1e-6)
+
+
 def test_training_raises_the_likelihood():
     true, rng, texts = model(seed=5), np.random.default_rng(3), []
     for _ in range(200):
