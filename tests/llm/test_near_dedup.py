@@ -103,6 +103,16 @@ def test_mixed_buckets_lose_no_link(spark, monkeypatch, count, pairs, few):
     assert got == want and len({r[2] for r in want}) > 3
 
 
+def test_many_repeated_rows(spark):
+    """A third of the rows are one row, another third copies of its text under other ids, in many partitions."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, base)] * 100 + [(100 + i, base) for i in range(100)] + [(300 + i, base + f" x{i}" if i % 2 else f"other {i} words") for i in range(100)]
+    df = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], fixtures.SCHEMA).repartition(6)
+    got = nd.near_groups(df, words=4).collect()
+    want = {r[0]: r for r in brute(sorted(set(rows)), 4)}
+    assert len(got) == 300 and all(tuple(r) == want[r.doc_id] for r in got) and sum(r.kept for r in got) == 150
+
+
 def test_nothing_is_left_behind(spark):
     """All tables but the result's are deleted."""
     from pathlib import Path

@@ -130,14 +130,19 @@ def _signed(words: int, bands: int, rows: int):
 
 
 def _sets(words: int):
-    """For mapInArrow: (node, digest, text) to (node, size, set). Of rows of one id, only those of the class's text count."""
+    """For mapInArrow: (node, digest, text) to (node, size, set). Of rows of one id, only those of the class's text count, and
+    of those one in a partition."""
 
     def run(batches):
+        seen: set[int] = set()
         for b in pieces(batches):
             nodes, sets = [], []
             for node, want, text in zip(*(c.to_pylist() for c in b.columns)):
+                if node in seen:
+                    continue
                 s = shingles(text, words)
-                if len(s) and digest(s) == want and not (nodes and nodes[-1] == node):
+                if len(s) and digest(s) == want:
+                    seen.add(node)
                     nodes.append(node)
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array(sets, pa.binary())], ["node", "size", "shingles"])
@@ -244,16 +249,19 @@ def _near_groups(base: DataFrame, words: int, percent: int, bands: int, rows: in
     classes = table(found.groupBy("digest").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
 
     # Buckets of more than one class, with their members and smallest member. Rows repeating an id and a text are one node.
-    nodes = table(found.select("digest", F.col("id").alias("node"), "bands").join(classes.select("digest", "node"), ["digest", "node"]).select("node", "bands"), "nodes")
+    each = found.groupBy("digest", F.col("id").alias("node")).agg(F.first("bands").alias("bands"))
+    nodes = table(each.join(classes.select("digest", "node"), ["digest", "node"]).select("node", "bands"), "nodes")
     held = nodes.select(F.explode("bands").alias("bucket"), "node")
     shared = held.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count(F.lit(1)).alias("copies")).filter("centre < last")
     shared = table(shared.select("bucket", "centre", "copies"), "shared")
     members = table(matched(held, shared, "bucket", nodes.count() * bands).select("bucket", "node", "centre"), "members")
 
     wanted = table(members.select("node").distinct().join(classes.select("node", "digest"), "node"), "wanted")
-    few = wanted.count() <= BROADCAST_NODES
-    texts = base.select(F.col("id").alias("node"), "text").join(F.broadcast(wanted) if few else wanted, "node").select("node", "digest", "text")
+    n = wanted.count()
+    texts = base.select(F.col("id").alias("node"), "text").join(F.broadcast(wanted) if n <= BROADCAST_NODES else wanted, "node").select("node", "digest", "text")
     sets = table(texts.mapInArrow(_sets(words), "node long, size long, shingles binary"), "sets")
+    if sets.count() > n:  # rows that repeat an id and a text, in several partitions
+        sets = table(sets.dropDuplicates(["node"]), "sets")
 
     def confirmed(edges: DataFrame) -> DataFrame:
         one = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
