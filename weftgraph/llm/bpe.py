@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, pieces, text_or_empty
+from .common import bounded, kept, pieces, text_or_empty
 
 #: Bounds of the tables, which start anew when full; longer words and pieces are not remembered.
 MAX_TRANSITIONS, MEMO_WORDS, MEMO_CHARS = 700_000, 800_000, 32
@@ -316,4 +316,5 @@ def _encoded(path: str, pattern: str):
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row's ids and of the text decoded from them."""
+    bounded(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(_encoded(ranks_path, pattern), SCHEMA)

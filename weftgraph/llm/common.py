@@ -8,6 +8,9 @@ on a cluster that is an error, as executors would each write to a disk of their
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,11 +18,26 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of the pieces in which Python goes through an Arrow batch. Spark bounds a batch by rows and bytes
-#: (spark.sql.execution.arrow.*); the lists of Python objects made of one would be several times as large.
+#: Bytes of an Arrow batch on its way to Python, a session setting (64 MB unless it is set). A batch is held once by the JVM,
+#: outside of its heap, and once by Python, for each task of an executor.
+BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows and bytes of the pieces in which Python goes through a batch; the lists of Python objects made of one are several
+#: times as large.
 PIECE_ROWS, PIECE_BYTES = 1000, 4 << 20
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, its Arrow batches bounded by BATCH_BYTES if they are not already by less. The setting stays: the bound
+    is read when a plan runs, which is after the operator that made it has returned."""
+    now = spark.conf.get(_BATCH, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return spark
+
+
+prepare = bounded
+
+
 def pieces(batches, rows: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator:
     """The rows of Arrow batches, in slices of at most that many rows and about that many bytes (one row at least)."""
     for b in batches:
@@ -36,14 +54,20 @@ def kept(owner: str, key: object = None, make: Callable = lambda: None):
     operator's things only; those of the operator before it are dropped, as workers outlive the stages of a pipeline."""
     if (owner, key) not in _kept:
         _kept.clear()
+        _release()
         _kept[owner, key] = make()
+        _release()
     return _kept[owner, key]
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches of operators that do not go through them in pieces yet."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PIECE_ROWS))
-    return spark
+def _release() -> None:
+    """Gives freed memory back to the system; Arrow's pool and malloc would hold on to it."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shared_root(spark: SparkSession) -> str:

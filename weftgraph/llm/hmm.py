@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, Scratch, kept, pieces, shares, text_or_empty
+from .common import PIECE_BYTES, Scratch, bounded, kept, pieces, shares, text_or_empty
 
 BLOCK_TOKENS, FREQUENT, CLASSES, ENDING, STATES, ROUNDS = 4_000_000, 64_000, 1024, 3, 8, 5
 STRETCH, CHUNK, TOLERANCE, EVERY = 1024, 256, 1e-10, 8
@@ -405,7 +405,7 @@ def score(docs: DataFrame, modulus: int = 10, held_out: int = 0, id_col: str = "
     scores every row: doc_id, held_out, n_tokens, n_known, base_score, score, train_tokens."""
     out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == held_out, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), out.alias("held_out"), text_or_empty(text_col).alias("text"))
-    with Scratch(docs.sparkSession) as table:
+    with Scratch(bounded(docs.sparkSession)) as table:
         scored, unigram, total = _base(rows, block_tokens, frequent, table)
     model = train(scored.filter("not held_out").select("symbols"), unigram / unigram.sum(), states, rounds)
     done = scored.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import kept, pieces
+from .common import bounded, kept, pieces
 
 #: The one bound of the sample, in rows; SHORT only says which rows come first.
 ROWS_PER_LANG, SHORT = 32, 3000
@@ -300,6 +300,7 @@ def tagged(docs: DataFrame, modulus: int = 4, held_out: int = 2, id_col: str = "
     """docs with lang_pred, score and bits_per_char of each row; docs has no columns of these names. Learns from the
     labelled rows that are not held out (crc32 of the id as text, modulo ``modulus``, is not ``held_out``). Nothing but the
     sample is shuffled."""
+    bounded(docs.sparkSession)
     samples = learn(docs, ~F.coalesce(remainder(id_col, modulus) == held_out, F.lit(False)), id_col, text_col, lang_col, rows_per_lang)
     schema = StructType([*docs.schema.fields, *[StructField(n, t) for n, t in PREDICTED.items()]])
     return docs.mapInArrow(_predicted(samples, docs.columns.index(text_col)), schema)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Scratch, kept, lookup, matched, pieces, text_or_empty
+from .common import Scratch, bounded, kept, lookup, matched, pieces, text_or_empty
 from .components import components, relabel
 
 BANDS, ROWS, WORDS, PERCENT = 40, 6, 5, 80
@@ -239,7 +239,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ban
     text = text_or_empty(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     base = base.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))).alias("id"), "text")
-    with Scratch(docs.sparkSession) as table:
+    with Scratch(bounded(docs.sparkSession)) as table:
         return _near_groups(base, words, percent, bands, rows, table)
 
 

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, text_or_empty
-from .tokens import encoder
+from .common import bounded, pieces, text_or_empty
+from .tokens import MEMO_WORDS, encoder
 
 TIERS = (512, 1024, 2048, 4096)
 BLOCK_TOKENS, STEP_TOKENS = 1 << 19, 1 << 16
@@ -122,11 +122,11 @@ def step_groups(windows: list[list], step_tokens: int) -> list[int]:
     return out
 
 
-def _packed(tokenizer: str, end_id: int, tiers: tuple, block_tokens: int, step_tokens: int):
+def _packed(tokenizer: str, end_id: int, tiers: tuple, block_tokens: int, step_tokens: int, memo_words: int):
     def run(batches):
         from pyspark import TaskContext
 
-        enc, packer = encoder(tokenizer), Packer(tiers, block_tokens)
+        enc, packer = encoder(tokenizer, memo_words), Packer(tiers, block_tokens)
         base = TaskContext.get().partitionId() << 40
         number, group, waiting, held = 0, 0, [], 0
 
@@ -164,10 +164,11 @@ def _packed(tokenizer: str, end_id: int, tiers: tuple, block_tokens: int, step_t
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple = TIERS, block_tokens: int = BLOCK_TOKENS, step_tokens: int = STEP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple = TIERS, block_tokens: int = BLOCK_TOKENS, step_tokens: int = STEP_TOKENS, id_col: str = "doc_id", text_col: str = "text", memo_words: int = MEMO_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (the sequence's
-    length, a power of two), step_group."""
+    length, a power of two), step_group. memo_words bounds the tokenizer's memo, some 400 bytes each, and with it the time."""
     if any(t & (t - 1) for t in tiers):
         raise ValueError("tiers are powers of two")
+    bounded(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(_packed(tokenizer, end_id, tuple(tiers), block_tokens, step_tokens), SCHEMA)
+    return rows.mapInArrow(_packed(tokenizer, end_id, tuple(tiers), block_tokens, step_tokens, memo_words), SCHEMA)

@@ -17,13 +17,13 @@ from .common import kept
 
 #: Words in the memo's newer half. When it is full it becomes the older half, which gives back the words that are asked
 #: for again; the others go. A word takes about 200 bytes.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 750_000
 _JOIN = 512
 
 
-def encoder(path: str) -> "WordEncoder":
+def encoder(path: str, memo_words: int = MEMO_WORDS) -> "WordEncoder":
     """This process's encoder for a tokenizer file."""
-    return kept("tokens", path, lambda: WordEncoder(path))
+    return kept("tokens", (path, memo_words), lambda: WordEncoder(path, memo_words))
 
 
 class WordEncoder:
@@ -34,9 +34,8 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.memo_words, self.memo, self.older = memo_words, {}, {}
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.kind = self._kind(spec)
+        part = lambda x: None if x is None else json.loads(x.__getstate__())  # noqa: E731  the whole file is large
+        self.kind = self._kind({"pre_tokenizer": part(self.library.pre_tokenizer), "normalizer": part(self.library.normalizer)})
         self.width = 2 if self.library.get_vocab_size() <= 65536 else 4
         if self.kind == "byte":
             self.mark = self._one("\n")
