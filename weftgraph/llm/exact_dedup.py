@@ -5,9 +5,11 @@
 2. Misra-Gries summaries with ``counters`` counters are made per partition and added up by digest. A digest on more
    than 2 n / (counters + 1) of the n rows keeps a sum of at least n / (counters + 1), and as all sums together are at
    most n, at most counters + 1 digests have such a sum: that is the proven bound of what is broadcast.
-3. The candidates are verified: exact count and smallest id, by map-side partial aggregation.
-4. Rows of those winners get their group by a broadcast join and are not shuffled. The remaining digests, none of
-   which has more than 2 n / (counters + 1) rows, are grouped by an ordinary shuffle of the 40-byte rows.
+3. The candidates are verified: exact count and smallest id, by map-side partial aggregation; those with a count below
+   n / (counters + 1) are no winners.
+4. Rows of the winners get their group by a broadcast join and are not shuffled. The remaining digests, none of which
+   has more than 2 n / (counters + 1) rows, are summed up by partial aggregates and joined back, an ordinary shuffle of
+   40-byte rows.
 
 Edge cases. Null text counts as empty, and all empty texts are one group. Ids that are null are ignored when the
 smallest id is sought; a group with null ids alone has a null keep_id and all its rows are kept. Rows that repeat the
@@ -20,10 +22,10 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_or_empty, written
+from .common import bounded, kept, pieces, text_or_empty, written
 
 COUNTERS = 1000
 
@@ -47,8 +49,9 @@ def misra_gries(counters: int):
     """For mapInArrow: the summary of a partition's digests, as rows (digest, lower bound of its count)."""
 
     def summarise(batches):
+        kept("exact_dedup")
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in pieces(batches):
             counts.update(batch.column(0).to_pylist())
             shrink(counts, counters)
         if counts:
@@ -67,15 +70,16 @@ def heavy_hitters(keys: DataFrame, counters: int = COUNTERS, rows: int | None =
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    prepare(docs.sparkSession)
+    bounded(docs.sparkSession)
     rows = written(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(normalised(text_or_empty(text_col)), 256)).alias("digest")), "digests")
-    found = heavy_hitters(rows.select("digest"), counters)
+    n = rows.count()
+    found = heavy_hitters(rows.select("digest"), counters, n)
     group = [F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
-    winners = written(rows.join(F.broadcast(found), "digest").groupBy("digest").agg(*group), "winners")
+    winners = written(rows.join(F.broadcast(found), "digest").groupBy("digest").agg(*group).filter(F.col("group_size") * (counters + 1) >= n), "winners")
     split = rows.join(F.broadcast(winners), "digest", "left")
     heavy = split.filter(F.col("group_size").isNotNull())
-    same = Window.partitionBy("digest")
-    rest = split.filter(F.col("group_size").isNull()).select("doc_id", "digest", F.min("doc_id").over(same).alias("keep_id"), F.count(F.lit(1)).over(same).alias("group_size"))
+    light = split.filter(F.col("group_size").isNull()).select("doc_id", "digest")
+    rest = light.join(light.groupBy("digest").agg(*group), "digest")
     return heavy.unionByName(rest).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
