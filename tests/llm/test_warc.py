@@ -40,6 +40,16 @@ def test_pages(spark):
     assert all(((h or "").encode()) in {x for _, x in payloads} for _, _, h in rows)
 
 
+def test_small_archives_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"http://h/{i}", "<p>" + "ab"[i % 2] * 1500 if i % 3 else f"page {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA + "").withColumns({c: F.lit("clash") for c in ("digest", "size", "refers_to", "revisit", "path", "n_records", "copies", "last", "payload_bytes", "record_type")})
+    manifest = warc.write_archives(df.coalesce(2), archive_bytes=3000)
+    assert order(warc.read_archives(manifest).collect()) == order(brute(rows))
+    assert manifest.count() > 4 and sum(m.n_records for m in manifest.collect()) == 60
+
+
 def test_empty(spark):
     assert warc.read_archives(warc.write_archives(spark.createDataFrame([], SCHEMA))).collect() == []
 

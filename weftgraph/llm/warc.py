@@ -4,7 +4,8 @@ Writing. A page's payload is its html in UTF-8. Pages with equal payloads of at
 an aggregate on the SHA-1 (partial before the shuffle, so a payload shared by a third of the pages costs no more); the
 one with the largest page id is the response, the others are revisits that name it and carry no payload. A payload on
 more than 1/1000 of the pages is looked up by a broadcast join (there are fewer than 1000 such payloads, whatever the
-input), the others by a shuffled join on the digest. Then each partition writes one archive: a skippable frame with a
+input), the others by a shuffled join on the digest. Then each partition writes archives of
+about ``archive_bytes`` (ARCHIVE_BYTES) of records each: a skippable frame with a
 zstandard dictionary trained on a bounded sample of its first records, and a frame per record.
 
 Reading. A reader takes the dictionary from the leading skippable frame, decodes one frame at a time, and validates what
@@ -28,11 +29,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, prepare, shared_path, text_or_empty, write_file, written
+from .common import bounded, file_system, kept, pieces, shared_path, text_or_empty, write_file, written
 
 DICT_FRAME, ZSTD_FRAME, ZSTD_DICT = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 DICT_BYTES, SAMPLE_BYTES, SAMPLE_RECORDS = 32 << 10, 4 << 20, 1000
-MIN_REVISIT = 1000
+MIN_REVISIT, ARCHIVE_BYTES = 1000, 1 << 30
 _DATE = "1970-01-01T00:00:00Z"
 
 
@@ -142,38 +143,34 @@ def _page_record(page_id, url, html: bytes, size: int, digest: str, refers_to, r
     return record("response", headers, http + html)
 
 
-def _write(root: str):
+def _write(root: str, archive_bytes: int):
     def run(batches):
         from pyspark import TaskContext
 
-        count = 0
+        kept("warc")
+        stream = (_page_record(page_id, url, html, size, digest.hex(), refers_to, revisit) for b in pieces(batches) for page_id, url, html, size, digest, refers_to, revisit in zip(*(c.to_pylist() for c in b.columns)))
+        row, part = next(stream, None), 0
+        while row is not None:
+            count = held = 0
 
-        def records():
-            nonlocal count
-            for b in batches:
-                for page_id, url, html, size, digest, refers_to, revisit in zip(*(c.to_pylist() for c in b.columns)):
-                    count += 1
-                    yield _page_record(page_id, url, html, size, digest.hex(), refers_to, revisit)
+            def records():
+                nonlocal row, count, held
+                while row is not None and held < archive_bytes:
+                    count, held = count + 1, held + len(row)
+                    yield row
+                    row = next(stream, None)
 
-        chunks = archive(records())
-        head = next(chunks, None)
-        if head is None:
-            return
-        path = f"{root}/pages-{TaskContext.get().partitionId():05d}.warc.zst"
-
-        def all_chunks():
-            yield head
-            yield from chunks
-
-        size = write_file(path, all_chunks())
-        yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [count], "n_bytes": [size]}, schema=pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())]))
+            path = f"{root}/pages-{TaskContext.get().partitionId():05d}-{part:05d}.warc.zst"
+            size = write_file(path, archive(records()))
+            yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [count], "n_bytes": [size]}, schema=pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())]))
+            part += 1
 
     return run
 
 
-def write_archives(pages: DataFrame, out: str | None = None, min_revisit: int = MIN_REVISIT, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, out: str | None = None, min_revisit: int = MIN_REVISIT, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes the archives below ``out``; returns the manifest (path, n_records, n_bytes)."""
-    spark = prepare(pages.sparkSession)
+    spark = bounded(pages.sparkSession)
     out = out or shared_path(spark, "warc")
     html = F.encode(text_or_empty(html_col), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
@@ -192,7 +189,7 @@ def write_archives(pages: DataFrame, out: str | None = None, min_revisit: int =
     grouped = known & (F.col("hot").isNotNull() | F.col("cold").isNotNull())
     rows = rows.select("page_id", "url", "html", "size", "digest", ref.alias("refers_to"), F.coalesce(grouped & ~F.col("page_id").eqNullSafe(ref), F.lit(False)).alias("revisit"))
     rows = rows.withColumn("html", F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("html")))
-    return written(rows.mapInArrow(_write(out), "path string, n_records long, n_bytes long"), "archives")
+    return written(rows.mapInArrow(_write(out, archive_bytes), "path string, n_records long, n_bytes long"), "archives")
 
 
 def page_rows(uri: str) -> Iterator[tuple]:
