@@ -18,27 +18,35 @@ from weftgraph.llm.common import written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _chosen(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of docs whose ids are among those of decisions."""
-    ids = decisions.select(F.col("doc_id").alias("__chosen")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__chosen"]), "left_semi").select(*COLUMNS)
+#: Up to so many ids that leave (some 16 bytes each, counted first) are broadcast, and no text is shuffled; beyond that they
+#: are matched by an ordinary shuffle.
+BROADCAST_IDS = 1_000_000
+#: The tokenizer's memo in the last stage, smaller than packing alone has it: executors then still hold what the stages
+#: before have left on their heaps.
+MEMO_WORDS = 100_000
+
+
+def _chosen(docs: DataFrame, decisions: DataFrame, name: str) -> DataFrame:
+    """docs without the rows whose ids leave: those of decisions (doc_id, kept) of which no row is kept."""
+    leaving = written(decisions.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")), name)
+    gone = F.broadcast(leaving) if leaving.count() <= BROADCAST_IDS else leaving
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no language (without letters); the others get the language found where they have none."""
-    found = langid.identify(docs).filter(F.col("lang_pred") != langid.UNDETERMINED).groupBy("doc_id").agg(F.min("lang_pred").alias("__lang"))
-    kept = docs.join(found.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*COLUMNS)
+    found = langid.tagged(docs.select(*COLUMNS)).filter(F.col("lang_pred") != langid.UNDETERMINED)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the one with the smallest id stays."""
-    return _chosen(docs, exact_dedup.exact_groups(docs).filter("kept"))
+    return _chosen(docs, exact_dedup.exact_groups(docs), "exact-gone")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, resemblance 0.8 or more), the one with the smallest id stays."""
-    return _chosen(docs, near_dedup.near_groups(docs).filter("kept"))
+    return _chosen(docs, near_dedup.near_groups(docs), "near-gone")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +58,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences; see weftgraph.llm.packing."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memo_words=MEMO_WORDS)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_duplicates), ("near_dedup", near_duplicates), ("pii", personal_data), ("packing", packed)]
