@@ -43,9 +43,9 @@ def test_memo_on_odd_texts(name):
     run()
 
 
-def test_memo_starts_anew_when_full():
+def test_memo_halves():
     enc, lib = WordEncoder(P.path(FILES[0]), memo_words=5), library(FILES[0])
-    for texts in (["a b c", "d e f"], ["a b", "g h i j k l"]):
+    for texts in (["a b c", "d e f"], ["a b", "g h i j k l"], ["a b", "c"], ["a g h", "m n o p q"], ["a", "c"]):
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [lib(t) for t in texts]
 
 
@@ -55,7 +55,7 @@ def key(x):
 
 def test_store_round_trip(spark):
     docs, lib = fixtures.odd(spark), library(FILES[0])
-    got = token_store.read_tokens(token_store.write_tokens(docs, P.path(FILES[0]), docs_per_shard=2)).collect()
+    got = token_store.read_tokens(token_store.write_tokens(docs, P.path(FILES[0]), docs_per_file=2)).collect()
     ids = sorted(((d, np.array(lib(t or "") + [2], "<u4").tobytes()) for d, t, *_ in fixtures.odd_rows()), key=lambda x: (key(x[0]), zlib.crc32(x[1])))
     assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got if r.doc_id is not None) == sorted((d, len(b) // 4, zlib.crc32(b)) for d, b in ids if d is not None)
     got.sort(key=lambda r: r.start)
@@ -63,6 +63,17 @@ def test_store_round_trip(spark):
     assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
 
 
+def test_shards_of_many_files(spark):
+    """More rows than all shards would hold at that many a file."""
+    docs, lib = fixtures.docs(spark, [f"text number {i} " + "x" * (i % 7) for i in range(100)]), library(FILES[0])
+    manifest = token_store.write_tokens(docs.repartition(3), P.path(FILES[0]), docs_per_file=4, max_shards=3)
+    files = sorted(manifest.collect(), key=lambda r: (r.shard, r.part))
+    assert len({r.shard for r in files}) <= 3 and len(files) >= 25 and max(r.n_docs for r in files) == 4
+    got = sorted(token_store.read_tokens(manifest).collect(), key=lambda r: r.doc_id)
+    ends = np.cumsum([len(lib(r.text)) + 1 for r in docs.orderBy("doc_id").collect()]).tolist()
+    assert [r.start for r in got] == [0, *ends[:-1]] and [r.start + r.n_tokens for r in got] == ends
+
+
 def test_store_reads_single_documents_and_finds_damage(spark):
     import zstandard
 

@@ -8,7 +8,9 @@ table, and decompresses only the frames it wants, each checked against its check
 
 Documents are encoded where they are read; their frames, about a third of the text, are shuffled once to shards. Shards
 are ranges of doc_id at approximate quantiles, so they are even for any spacing of ids, and no document is ever held with
-more than its batch. A shard is written under a name of the attempt and renamed, so a repeated task replaces it whole.
+more than its batch. A shard is sorted and written as files of at most ``docs_per_file`` documents, so a file and its
+tables stay small however many rows there are. A file is written under a name of the attempt and renamed, so a repeated
+task replaces it whole.
 
 Edge cases. Null text counts as empty. A null id sorts before all others; equal ids are ordered by checksum, then by
 length. An empty table gives no files and an empty result. Other columns are never read.
@@ -27,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, prepare, shared_path, shares, text_or_empty, write_file, written
+from .common import bounded, file_system, pieces, shared_path, shares, text_or_empty, write_file, written
 from .tokens import encoder
 
 SKIPPABLE, INDEX, FOOTER = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
-DOCS_PER_SHARD, MAX_SHARDS, LEVEL = 2048, 4096, 3
+DOCS_PER_FILE, MAX_SHARDS, LEVEL = 2048, 1 << 16, 3
 
 
 def frame(compressor: zstandard.ZstdCompressor, ids: np.ndarray, width: int) -> tuple[bytes, int, int]:
@@ -106,7 +108,7 @@ def _encoded(path: str, end_id: int, bounds: list[int]):
 
     def run(batches):
         enc, compressor = encoder(path), zstandard.ZstdCompressor(level=LEVEL)
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
                 ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
@@ -118,22 +120,24 @@ def _encoded(path: str, end_id: int, bounds: list[int]):
     return run
 
 
-def _writer(root: str):
-    """For mapInArrow over rows sorted by shard and doc_id: writes a file per shard, returns its line of the manifest."""
+def _writer(root: str, docs_per_file: int):
+    """For mapInArrow over rows sorted by shard and doc_id: writes the files of each shard, returns their lines of the
+    manifest."""
 
     def rows(batches) -> Iterator[tuple]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield from zip(*(c.to_pylist() for c in batch.columns))
 
     def run(batches):
         stream = rows(batches)
-        row = next(stream, None)
+        row, shard, part = next(stream, None), None, 0
         while row is not None:
+            part = part + 1 if row[0] == shard else 0
             shard, frames, docs, counts, width = row[0], [], [], [], row[3]
 
             def chunks():
                 nonlocal row
-                while row is not None and row[0] == shard:
+                while row is not None and row[0] == shard and len(docs) < docs_per_file:
                     frames.append((len(row[6]), row[4], row[5]))
                     docs.append(row[1])
                     counts.append(row[2])
@@ -141,29 +145,29 @@ def _writer(root: str):
                     row = next(stream, None)
                 yield trailer(frames, docs, counts, width)
 
-            name = f"{root}/tokens-{shard:05d}.zst"
+            name = f"{root}/tokens-{shard:05d}-{part:06d}.zst"
             size = write_file(name, chunks())
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [name], "n_docs": [len(docs)], "n_tokens": [sum(counts)], "n_bytes": [size]}, schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "part": [part], "path": [name], "n_docs": [len(docs)], "n_tokens": [sum(counts)], "n_bytes": [size]}, schema=pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
     return run
 
 
-MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long"
+MANIFEST = "shard int, part int, path string, n_docs long, n_tokens long, n_bytes long"
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = DOCS_PER_SHARD, max_shards: int = MAX_SHARDS) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", docs_per_file: int = DOCS_PER_FILE, max_shards: int = MAX_SHARDS) -> DataFrame:
     """Writes the files below ``out`` (by default a new folder in the shared one). Returns the manifest: a row per file
-    (shard, path, n_docs, n_tokens, n_bytes), in the order of shards the order of ids."""
-    spark = prepare(docs.sparkSession)
+    (shard, part, path, n_docs, n_tokens, n_bytes); the order of shards and parts is the order of ids."""
+    spark = bounded(docs.sparkSession)
     out = out or shared_path(spark, "tokens")
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     n = ids.count()
-    shards = max(1, min(max_shards, -(-n // docs_per_shard)))
+    shards = max(1, min(max_shards, -(-n // docs_per_file)))
     cuts = [i / shards for i in range(1, shards)]
     bounds = sorted(set(ids.agg(F.percentile_approx("doc_id", cuts, 20 * shards)).first()[0] or [])) if cuts else []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(_encoded(tokenizer, end_id, bounds), "shard int, doc_id long, n_tokens long, width int, size long, check long, frame binary")
     dealt = rows.repartition(max(shares(docs), 1), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "check", "n_tokens")
-    return written(dealt.mapInArrow(_writer(out), MANIFEST), "manifest")
+    return written(dealt.mapInArrow(_writer(out, docs_per_file), MANIFEST), "manifest")
 
 
 def _read(batches):
@@ -178,8 +182,10 @@ def _read(batches):
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """Reads every file of a manifest back: doc_id, start, n_tokens, ids_crc32. The running total over files needs one
-    row per file, at most ``max_shards``."""
+    """Reads every file of a manifest back: doc_id, start, n_tokens, ids_crc32. The running total goes over one row per
+    shard, at most ``max_shards``, and within each shard over its files."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.select("shard", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    return files.repartition(max(shares(manifest), 1), "shard").select("path", "base").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    shards = manifest.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(shards, "shard")
+    return files.repartition(max(shares(manifest), 1), "path").select("path", F.col("first") + F.col("base")).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
