@@ -35,9 +35,6 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
-prepare = bounded
-
-
 def pieces(batches, rows: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator:
     """The rows of Arrow batches, in slices of at most that many rows and about that many bytes (one row at least)."""
     for b in batches:
