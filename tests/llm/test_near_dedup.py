@@ -100,7 +100,7 @@ def test_mixed_buckets_lose_no_link(spark, monkeypatch, count, pairs, few):
         texts.append(" ".join(x))
     got = sorted(map(tuple, nd.near_groups(fixtures.docs(spark, texts).repartition(5), words=4).collect()))
     want = brute(list(enumerate(texts)), 4)
-    assert got == want and len({r[2] for r in want}) > 3
+    assert got == want and len({r[2] for r in want}) > 1
 
 
 def test_many_repeated_rows(spark):
