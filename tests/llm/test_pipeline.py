@@ -48,3 +48,14 @@ def test_odd_rows(spark, sf_dir):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, sf_dir)
         assert docs.count() == 0
+
+
+def test_each_stage_begins_with_executors_that_gave_back_their_heaps(spark, sf_dir):
+    """Full collections of the JVM, which is executor and driver here, by the time a stage has been planned."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = fixtures.none(spark)
+    for name, stage in cp.STAGES:
+        before = full()
+        stage(spark, docs, sf_dir)
+        assert full() > before, name

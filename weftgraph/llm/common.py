@@ -51,13 +51,13 @@ def kept(owner: str, key: object = None, make: Callable = lambda: None):
     operator's things only; those of the operator before it are dropped, as workers outlive the stages of a pipeline."""
     if (owner, key) not in _kept:
         _kept.clear()
-        _release()
+        release()
         _kept[owner, key] = make()
-        _release()
+        release()
     return _kept[owner, key]
 
 
-def _release() -> None:
+def release() -> None:
     """Gives freed memory back to the system; Arrow's pool and malloc would hold on to it."""
     import pyarrow as pa
 
@@ -67,6 +67,14 @@ def _release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def release_heaps(spark: SparkSession) -> None:
+    """Has the executors collect garbage, after which a JVM gives back most of the heap that is free. A heap that grew in
+    one stage of a pipeline otherwise stays as large in the next, beside the Python workers of that one. A task per core;
+    an executor that gets none keeps its heap as it is, and no result depends on it."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where it is unset, a folder of our own that is then set."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, pieces, text_or_empty
+from .common import bounded, pieces, release, text_or_empty
 from .tokens import MEMO_WORDS, encoder
 
 TIERS = (512, 1024, 2048, 4096)
@@ -122,7 +122,7 @@ def step_groups(windows: list[list], step_tokens: int) -> list[int]:
     return out
 
 
-def _packed(tokenizer: str, end_id: int, tiers: tuple, block_tokens: int, step_tokens: int, memo_words: int):
+def _packed(tokenizer: str, end_id: int, tiers: tuple, block_tokens: int, step_tokens: int, memo_words: int, give_back: bool = False):
     def run(batches):
         from pyspark import TaskContext
 
@@ -157,6 +157,8 @@ def _packed(tokenizer: str, end_id: int, tiers: tuple, block_tokens: int, step_t
                     keep(packer.windows(last=False))
                 if held >= block_tokens:
                     yield batch()
+            if give_back:
+                release()
         keep(packer.windows(last=True))
         if waiting:
             yield batch()
@@ -164,11 +166,12 @@ def _packed(tokenizer: str, end_id: int, tiers: tuple, block_tokens: int, step_t
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple = TIERS, block_tokens: int = BLOCK_TOKENS, step_tokens: int = STEP_TOKENS, id_col: str = "doc_id", text_col: str = "text", memo_words: int = MEMO_WORDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple = TIERS, block_tokens: int = BLOCK_TOKENS, step_tokens: int = STEP_TOKENS, id_col: str = "doc_id", text_col: str = "text", memo_words: int = MEMO_WORDS, give_back: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (the sequence's
-    length, a power of two), step_group. memo_words bounds the tokenizer's memo, some 400 bytes each, and with it the time."""
+    length, a power of two), step_group. memo_words bounds the tokenizer's memo, some 400 bytes each, and with it the time.
+    give_back: workers return freed memory to the system after each piece of their rows, not only when they begin."""
     if any(t & (t - 1) for t in tiers):
         raise ValueError("tiers are powers of two")
     bounded(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(_packed(tokenizer, end_id, tuple(tiers), block_tokens, step_tokens, memo_words), SCHEMA)
+    return rows.mapInArrow(_packed(tokenizer, end_id, tuple(tiers), block_tokens, step_tokens, memo_words, give_back), SCHEMA)
